@@ -1,0 +1,198 @@
+"""Labelled lines for the credential field, made from templates with random fillers.
+
+In a template ``<<kind>>`` is a credential and ``[[kind]]`` is none. Kinds are
+the methods of :class:`Fill`. Most lines without a credential quote something
+that resembles one: public keys, digests, placeholders, references, redactions.
+"""
+
+from __future__ import annotations
+
+import random
+import re
+import string
+
+HOLDS = [
+    "aws_access_key_id = <<akia>>", "aws_secret_access_key = <<b40>>", "AWS_ACCESS_KEY_ID=<<akia>>", 'export AWS_SECRET_ACCESS_KEY="<<b40>>"',
+    "[[NAME]]_API_KEY=<<any>>", "[[NAME]]_TOKEN=<<any>>", "[[NAME]]_SECRET=<<any>>", "export [[NAME]]_KEY=<<any>>", "export [[NAME]]_PASSWORD='<<pw>>'", "SECRET_KEY=<<any>>", "SESSION_SECRET=<<hexa>>",
+    "      - POSTGRES_PASSWORD=<<pw>>", "      - SESSION_SECRET=<<hexa>>", "      - [[NAME]]_PASSWORD=<<pw>>", "      - MYSQL_ROOT_PASSWORD=<<pw>>", "      [[NAME]]_SECRET: <<any>>",
+    "  apiKey: <<any>>", "  api_key: \"<<any>>\"", "  api-key: <<any>>", "  client_secret: '<<any>>'", "  client_secret: \"<<any>>\"", "  access_token: <<any>>", "  access_token: '<<any>>'", "  password: <<pw>>", "  password: \"<<pw>>\"", "  token: <<any>>", "  secret: <<any>>",
+    "  GH_TOKEN: <<gh>>", "  GITHUB_TOKEN: <<gh>>", "  NPM_TOKEN: <<pat>>", "  SLACK_TOKEN: \"<<xox>>\"",
+    "password = \"<<pw>>\"", "password = '<<pw>>'", "password=<<pw>>", "passwd: <<pw>>", "password: <<pw>>", "[[id]]_password = '<<pw>>'", "[[id]]_password=<<pw>>", "[[id]]_secret = \"<<any>>\"", "[[id]].password=<<pw>>", "[[id]].datasource.password=<<pw>>", "spring.datasource.password=<<pw>>", "[[id]].secret.key=<<any>>",
+    "broker_password = '<<pw>>'", "mt[[digit]]_password=<<pw>>", "MT[[digit]] password: <<pw>>", "smtp_password = <<pw>>", "SMTP password: <<pw>>",
+    "conn = db.connect(host=\"[[host]]\", user='[[w]]', password='<<pw>>', port=[[n]])", "conn = db.connect(host=\"[[host]]\", user='[[w]]', passwd='<<pw>>', port=[[n]])", "c = connect(user=\"[[w]]\", pwd=\"<<pw>>\", db='[[w]]')", "conn = db.connect(host=\"[[host]]\", user='[[w]]', pwd='<<pw>>', port=[[n]])",
+    "client = Client(api_key=\"<<any>>\", timeout=[[n]])", "client = [[Name]](token='<<any>>')", "client = Client(api_key=\"<<sk>>\", timeout=[[n]])", "auth = ('[[w]]', password='<<pw>>')", "login([[n]], password='<<pw>>')",
+    "const [[w]]ApiKey = \"<<any>>\"", "const [[w]]ApiKey = \"<<hexa>>\" // [[w]]", "const token = '<<any>>';", "const session = '<<jwt>>';", "let jwt = \"<<jwt>>\";", "const [[w]]Secret = '<<any>>';", "var apiKey = \"<<hexa>>\"", "private static final String API_KEY = \"<<any>>\";", "const [[w]]Token = \"<<hexa>>\" // [[w]]",
+    "{\"[[w]]\": {\"channel\": \"[[w]]\", \"token\": \"<<xox>>\"}}", "{\"token\": \"<<any>>\", \"name\": \"[[w]]\"}", "{\"user\": \"[[w]]\", \"password\": \"<<pw>>\"}", "{\"name\": \"[[w]]\", \"key\": \"<<pem>>\", \"port\": [[n]]}", "  \"apiKey\": \"<<any>>\",", "  \"private_key\": \"<<pem>>\",",
+    "<server><id>[[w]]</id><username>[[w]]</username><password><<pw>></password></server>", "<password><<pw>></password>", "<token><<any>></token>", "<add key=\"ApiKey\" value=\"<<any>>\" />",
+    "curl -H \"Authorization: Bearer <<any>>\" https://[[host]]/[[w]]", "  -H \"Authorization: Bearer <<b64u>>\"", "  -H 'Authorization: Bearer <<jwt>>' \\", "curl -H 'X-Api-Key: <<any>>' https://[[host]]/v[[digit]]/models", "curl -H 'X-Api-Key: <<sk>>' https://[[host]]/v[[digit]]/models", "curl -u [[w]]:<<pw>> https://[[host]]/[[w]]", "curl --user [[w]]:<<pw>> https://[[host]]/", "curl -H 'PRIVATE-TOKEN: <<any>>' https://[[host]]/", "wget --password='<<pw>>' https://[[host]]/[[w]]",
+    "fetch(url, { headers: { authorization: `bearer <<b64u>>` } })", "headers = {\"Authorization\": \"Bearer <<any>>\"}", "Authorization: Bearer <<jwt>>", "Authorization: Bearer <<any>>", "Authorization: Token <<hexa>>", "Cookie: sid=<<jwt>>; theme=[[w]]", "Cookie: session=<<any>>; [[w]]=[[w]]", "Cookie: [[w]]=[[w]]; sid=<<b64u>>",
+    "<script src=\"https://maps.[[host]]/api?key=<<aiza>>&v=[[n]]\"></script>", "https://[[host]]/[[w]]?token=<<any>>&[[w]]=[[n]]", "GET /[[w]]?api_key=<<any>> HTTP/1.1", "https://[[host]]/[[w]]?key=<<aiza>>",
+    "//registry.[[host]]/:_authToken=<<pat>>", "//registry.[[host]]/:_authToken=<<any>>", "_auth=<<b64>>", "[[w]].auth_token=<<any>>",
+    "git clone https://<<gh>>@git.[[host]]/[[w]].git", "git clone https://[[w]]:<<gh>>@[[host]]/[[w]].git", "git remote add [[w]] https://[[w]]:<<pw>>@[[host]]/[[w]]",
+    "MAIL_URL=smtp://[[w]]:<<pwu>>@mail.[[host]]:[[n]]", "DATABASE_URL=postgres://[[w]]:<<pwu>>@[[host]]:[[n]]/[[w]]", "engine = connect('postgresql://[[w]]:<<pwu>>@db.[[host]]:[[n]]/[[w]]')", "engine = connect('redis://[[w]]:<<pwu>>@db.[[host]]:[[n]]/[[w]]')", "try mongodb+srv://[[w]]:<<pwu>>@[[host]]/[[w]] from the bastion", "try https://[[w]]:<<pwu>>@[[host]]/[[w]] from the [[w]]", "url: amqp://[[w]]:<<pwu>>@[[host]]:[[n]]/", "mysql://[[w]]:<<pwu>>@[[host]]/[[w]]", "REDIS=redis://:<<pwu>>@[[host]]:[[n]]/0", "engine = connect('https://[[w]]:<<pwu>>@db.[[host]]:[[n]]/[[w]]')", "see ftp://[[w]]:<<pwu>>@[[host]]/[[w]] for the files",
+    "mysqldump -u[[w]] -p<<pw>> [[w]] > dump.sql", "mysql -u[[w]] -p<<pw>> [[w]]", "mysqldump -u [[w]] -p<<pw>> [[w]]", "sshpass -p '<<pw>>' ssh [[w]]@[[host]] uptime", "sshpass -p <<pw>> scp [[w]]@[[host]]:/[[w]] .", "redis-cli -a <<pw>> ping", "docker login -u [[w]] -p <<pw>> [[host]]", "psql \"host=[[host]] user=[[w]] password=<<pw>>\"",
+    "machine [[host]] login [[w]] password <<pw>>", "default login [[w]] password <<pw>>",
+    "$env:[[NAME]]_ACCESS_KEY = \"<<b44>>\"", "$env:[[NAME]]_TOKEN = \"<<any>>\"", "AccountKey=<<b88>>;EndpointSuffix=[[host]]", "SharedAccessKey=<<b44>>",
+    "PrivateKey = <<b44>>", "PresharedKey = <<b44>>", "privatekey=<<b44>>", "wg set [[w]] private-key <<b44>>",
+    "log in to [[w]] with user [[w]] and passphrase \"<<pw>>\"", "log in as [[w]] with password <<pw>> and restart", "The password for the [[w]] account is `<<pw>>`, please rotate it later.", "the [[w]] password is <<pw>>", "password for [[w]]: <<pw>>", "Das Passwort für [[w]] lautet \"<<pw>>\".", "Passwort: <<pw>>", "La contraseña de [[w]] es \"<<pw>>\".", "Le mot de passe de [[w]] est « <<pw>> ».", "Пароль для [[w]]: \"<<pw>>\"",
+    "I exported <<sk>> in the shell and it still says [[n]].", "the runner uses <<gh>> to push tags", "my token <<any>> stopped working", "use the key <<sk>> for [[w]]", "the api key is <<any>>", "we rotated <<akia>> last week", "set the bearer token to <<b64u>> and retry", "I used <<xox>> for the [[w]] channel", "export [[w]] with <<pat>> instead", "Try <<aiza>> in the map widget.",
+    "<<pem>>", "<<pem>>", "user: <<pem>>", "key: <<pem>>",
+]
+
+CLEAN = [
+    "session [[uuid]] used token_count=[[n]] of [[n]]", "session [[uuid]] started", "request [[uuid]] failed with [[n]]", "trace id [[hex32]]", "commit [[hex40]] [[w]] [[w]] into [[w]]", "Merge [[hex7]] into [[w]]", "git checkout [[hex40]]", "sha256 of the bundle is [[hex64]]", "md5: [[hex32]]", "checksum = [[hex64]]", "image: [[w]]@sha256:[[hex64]]", "  image: [[w]]:[[n]]", "integrity: sha512-[[b88]]", "etag \"[[hex32]]\"", "content_hash=[[hex64]]", "digest [[hex64]] [[w]].tar.gz",
+    "PublicKey = [[b44]]", "PublicKey = [[b44]]", "publickey: [[b44]]", "Endpoint = [[host]]:[[n]]", "AllowedIPs = 10.9.[[digit]].0/24", "ListenPort = [[n]]", "[Peer]", "[Interface]", "ssh-ed25519 AAAA[[b64]] [[w]]@[[w]]", "ssh-rsa AAAA[[b88]]AAA[[b88]] [[w]]@[[host]]", "ssh-ed25519 AAAAC3NzaC1lZDI1NTE5AAAAI[[b40]] [[w]]@[[w]]", "[[pub]]", "[[pub]]", "user: [[pub]]",
+    "![chart](data:image/png;base64,iVBORw0KGgo[[b88]])", "<img src=\"data:image/png;base64,iVBORw0KGgo[[b88]]\"/>", "src: data:image/gif;base64,R0lGOD[[b64]]",
+    "  api_key: null", "  password: \"********\"", "  token: sk-xxxxxxxxxxxxxxxxxxxxxxxx", "  token: <token>", "  token: xxxxxxxxxxxxxxxx", "password: <your password for [[w]]>", "password: <your-password>", "password: YOUR_PASSWORD", "api_key = \"YOUR_API_KEY\"", "api_key: changeme", "  secret: \"\"", "  password: ''", "PASSWORD=", "token: none", "token = ...", "password: [redacted]", "apiKey: \"xxxxxxxx-xxxx-xxxx\"", "curl -u user:password https://[[host]]/",
+    "curl -H \"Authorization: Bearer <token>\" https://[[host]]/[[w]]", "curl -H \"Authorization: Bearer $TOKEN\" https://[[host]]/[[w]]", "  -H \"Authorization: Bearer ${[[NAME]]_TOKEN}\"", "curl -s https://[[host]]/[[w]] \\", "headers = {\"Authorization\": f\"Bearer {token}\"}",
+    "DB_PASSWORD=${[[NAME]]_PASSWORD}", "DB_PASSWORD=$[[NAME]]_PASSWORD", "[[NAME]]_TOKEN=${{ secrets.[[NAME]]_TOKEN }}", "client = Client(api_key=os.environ[\"[[NAME]]_API_KEY\"], max_tokens=[[n]])", "api_key = os.getenv('[[NAME]]_KEY')", "const password = form.[[w]].value;", "const token = getToken([[n]]);", "const token = await login([[w]], [[w]]);", "password = input(\"Password: \")", "password = config[\"[[w]]_password\"]", "const secret = process.env.[[NAME]]_SECRET;", "login([[n]], broker_password)", "send(session, [[n]]);", "token = vault.read('[[w]]/[[w]]')", "passwd = getpass.getpass()", "auth = HTTPBasicAuth(user, password)", "if (!token) return null;", "key = row['[[w]]']", "for key, value in [[w]].items():", "def token_count([[w]], limit=[[n]]):", "self.secret_key = secret_key", "key_id = [[n]]", "primary_key=True, max_length=[[n]]",
+    "The scrubber left [REDACTED:openai-key] and [REDACTED:mt[[digit]]-cred] in [[w]].", "The scrubber left [REDACTED:[[w]]-key] and [REDACTED:jwt] in [[w]].", "password=[REDACTED:smtp-cred]", "token: [REDACTED]", "Authorization: Bearer [REDACTED:generic-bearer]",
+    "The password reset page of [[w]] counts [[n]] tokens per secret santa round.", "The token counter in [[w]] reads [[n]] rows before the [[w]] starts.", "Can you explain why the key file shows [[n]] where the token counter of [[Name]] shows [[n]]?", "Keep the token counter at [[n]] until [[Name]] has been split.", "Here is the key file for [[w]]:", "We rotated the secret of [[Name]] after [[n]] attempts.", "Das Passwort von [[Name]] wurde nach [[n]] Tagen erneuert.", "La clave de [[Name]] queda en [[n]] y [[Name]] atenderá el registro.", "Please never put a password or token into [[w]].", "The session log in [[w]] reads [[n]] rows before the café-style cache starts.", "Decision: [[w]]-[[w]] uses [[Name]] for the token counter and leaves the well-tested key file alone.", "I forgot the password of the [[w]] account.", "passwords are stored as hashes since v[[digit]].[[digit]]", "user: Can you rotate the token of [[Name]]?", "assistant: First, open the token counter; then compare it with the half-finished key file at offset [[n]].", "the authentication token expired after [[n]] seconds", "Bearer tokens expire after [[n]] minutes.", "MT[[digit]] password reset for [[w]] took [[n]] s", "see RFC[[n]] for the token format",
+    "    return [row for row in rows if row.size < limit]", "def load_[[w]](path, limit=[[n]]):", "    rows = read_[[w]](path)", "export const [[w]] = (n: number) => n * [[n]];", "console.log([[w]](3));", "select count(*) from [[w]] where [[w]] > [[n]];", "./run-[[w]].sh --limit [[n]] | tee out.log", "cd ~/work/[[w]]", "set -eu", "  replicas: [[digit]]", "  healthcheck: /ready", "[[w]]:", "PORT=[[n]]", "DEBUG=0", "MAIL_FROM=[[w]]", "region = xx-north-1", "always-auth=true", "var limit = [[n]]", "    ports: [\"[[n]]:80\"]", "      - POSTGRES_USER=[[w]]", "Invoke-[[w]] -Port [[n]]", "spring.datasource.username=[[w]]", "user = \"[[w]]\"", "pool = [[n]]", "  retries: [[digit]]", "  endpoint: https://[[host]]", "mt[[digit]]_login=[[n]]", "mt[[digit]]_server=[[w]]-live", "server is [[w]]", "GET /[[w]] HTTP/1.1", "  DEPTH: [[n]]", "curl -s https://[[host]]/[[w]]?page=[[n]]&v=[[n]]", "https://[[host]]/[[w]]/[[w]]-[[n]].html", "git clone https://git.[[host]]/[[w]].git", "ssh [[w]]@[[host]] uptime", "docker run -p [[n]]:80 [[w]]/[[w]]:v[[digit]]", "mkdir -p [[w]]/[[w]] && cd [[w]]", "pip install [[w]]==1.[[digit]].[[digit]]", "postgres://[[host]]:[[n]]/[[w]]", "redis://localhost:[[n]]/0", "const url = `https://[[host]]/${id}`;", "at [[Name]].run([[Name]].java:[[n]])", "0x[[hex7]] in [[w]]", "2024-0[[digit]]-1[[digit]]T0[[digit]]:1[[digit]]:00Z INFO [[w]]", "build-[[n]]-[[hex7]]", "release v[[digit]].[[digit]].[[digit]]-rc1", "color: #[[hex6]];", "x = a*b+c/d-[[n]]", "if a!=b and c%2==1:", "key: [[w]]", "  keys: [[[w]], [[w]]]", "tokens: [[n]]", "max_tokens=[[n]]", "author = \"[[Name]] <[[w]]@[[host]]>\"", "node [[uuid]] left the ring", "  id: [[uuid]]", "X-Request-Id: [[hex32]]", "<id>[[w]]</id>", "{\"name\": \"[[w]]\", \"port\": [[n]]}", "{\"id\": \"[[uuid]]\", \"tokens\": [[n]]}",
+]
+
+_FIELD = re.compile(r"<<(\w+)>>|\[\[(\w+)\]\]")
+
+
+class Fill:
+    """Random fillers."""
+
+    def __init__(self, rng: random.Random):
+        self.rng = rng
+
+    def _of(self, alphabet: str, low: int, high: int | None = None) -> str:
+        return "".join(self.rng.choices(alphabet, k=self.rng.randint(low, high or low)))
+
+    def w(self) -> str:
+        r = self.rng
+        if r.random() < 0.15:
+            return r.choice(["main", "app", "staging", "admin", "backup", "metrics", "worker", "prod", "mailer", "root", "search", "billing"])
+        return "".join(r.choice(["b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "z", "br", "tr", "st", "sh"]) + r.choice("aeiou") for _ in range(r.randint(2, 5))) + r.choice(["", "", "n", "r", "s"])
+
+    def Name(self) -> str:
+        return self.w().capitalize()
+
+    def NAME(self) -> str:
+        return "_".join(self.w().upper() for _ in range(self.rng.randint(1, 2)))
+
+    def id(self) -> str:
+        return self.rng.choice([".", "_"]).join(self.w() for _ in range(self.rng.randint(1, 2)))
+
+    def n(self) -> str:
+        return str(self.rng.randint(1, 10 ** self.rng.randint(1, 5)))
+
+    def digit(self) -> str:
+        return self.rng.choice("123456789")
+
+    def host(self) -> str:
+        return f"{self.w()}.{self.rng.choice(['example', 'invalid', 'test', 'internal', 'com', 'io', 'example.org', 'local'])}"
+
+    def uuid(self) -> str:
+        return "-".join(self._of("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))
+
+    def hex6(self) -> str:
+        return self._of("0123456789abcdef", 6)
+
+    def hex7(self) -> str:
+        return self._of("0123456789abcdef", 7, 10)
+
+    def hex32(self) -> str:
+        return self._of("0123456789abcdef", 32)
+
+    def hex40(self) -> str:
+        return self._of("0123456789abcdef", 40)
+
+    def hex64(self) -> str:
+        return self._of("0123456789abcdef", 64)
+
+    def hexa(self) -> str:
+        return self._of("0123456789abcdef", self.rng.choice([24, 32, 32, 40, 48, 64]))
+
+    def b62(self) -> str:
+        return self._of(string.ascii_letters + string.digits, 20, 44)
+
+    def b64(self) -> str:
+        return self._of(string.ascii_letters + string.digits + "+/", 30, 70)
+
+    def b64u(self) -> str:
+        return self._of(string.ascii_letters + string.digits + "-_", 24, 48)
+
+    def b40(self) -> str:
+        return self._of(string.ascii_letters + string.digits + "+/", 40)
+
+    def b44(self) -> str:
+        return self._of(string.ascii_letters + string.digits + "+/", 43) + "="
+
+    def b88(self) -> str:
+        return self._of(string.ascii_letters + string.digits + "+/", 60, 86) + "=="
+
+    def akia(self) -> str:
+        return self.rng.choice(["AKIA", "AKIA", "ASIA"]) + self._of(string.ascii_uppercase + string.digits, 16)
+
+    def gh(self) -> str:
+        return self.rng.choice(["ghp_", "gho_", "ghs_", "github_pat_"]) + self._of(string.ascii_letters + string.digits, 36)
+
+    def pat(self) -> str:
+        return self.rng.choice(["pat_live_", "npm_", "pat_", "glpat-", "hf_", "dop_v1_"]) + self._of(string.ascii_letters + string.digits, 28, 40)
+
+    def sk(self) -> str:
+        return self.rng.choice(["sk-", "sk-proj-", "sk-svc-", "sk-ant-", "sk_live_"]) + self._of(string.ascii_letters + string.digits + self.rng.choice(["", "-_"]), 24, 44)
+
+    def xox(self) -> str:
+        return f"{self.rng.choice(['xoxb', 'xoxp'])}-{self._of(string.digits, 10, 12)}-{self._of(string.digits, 10, 12)}-{self._of(string.ascii_letters + string.digits, 24)}"
+
+    def aiza(self) -> str:
+        return "AIza" + self._of(string.ascii_letters + string.digits + "-_", 35)
+
+    def jwt(self) -> str:
+        part = lambda low, high: self._of(string.ascii_letters + string.digits + "-_", low, high)
+        return f"eyJ{part(20, 36)}.eyJ{part(30, 90)}.{part(30, 86)}"
+
+    def any(self) -> str:
+        return getattr(self, self.rng.choice(["b62", "b62", "b62", "b64u", "hexa", "sk", "pat", "b40"]))()
+
+    def pwu(self) -> str:
+        """A password that may stand in a URL."""
+        return self._of(string.ascii_letters + string.digits, 2, 8) + self.rng.choice("!-_~$.") + self._of(string.ascii_letters + string.digits, 3, 8) if self.rng.random() < 0.8 else self._of(string.ascii_letters + string.digits, 10, 20)
+
+    def pw(self) -> str:
+        r, marks = self.rng, "!%$*^#?~_-+."
+        style = r.random()
+        if style < 0.25:
+            return f"{self.Name()}{r.choice('!%$*#?^~')}{r.randint(10, 9999)}{self.w()[:4]}"
+        if style < 0.45:
+            return f"{self.w()}-{self.w()[:5]}-{r.randint(10, 99)}"
+        if style < 0.6:
+            return self._of(string.ascii_letters + string.digits, 11, 22)
+        if style < 0.95:
+            body = list(self._of(string.ascii_letters + string.digits, 9, 16))
+            for _ in range(r.randint(1, 3)):
+                body[r.randrange(1, len(body) - 1)] = r.choice(marks)
+            return "".join(body)
+        return self.w() + r.choice(["", "!"]) + str(r.randint(10, 999))
+
+    def pem(self) -> str:
+        return "\x001\x00"
+
+    def pub(self) -> str:
+        return "\x000\x00"
+
+
+def labelled_lines(count: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
+    """``count`` (line, spans of its credentials); key blocks are given as the marks the field reads."""
+    rng = random.Random(seed)
+    fill, out = Fill(rng), []
+    for i in range(count):
+        template = rng.choice(HOLDS if rng.random() < 0.6 else CLEAN)
+        line, spans, at = "", [], 0
+        for m in _FIELD.finditer(template):
+            line += template[at : m.start()]
+            value = getattr(fill, m[1] or m[2])()
+            if m[1]:
+                spans.append((len(line), len(line) + len(value)))
+            line += value
+            at = m.end()
+        line += template[at:]
+        lead = rng.choice(["", "", "", "  ", "- ", "user: ", "assistant: ", "# ", "    "])
+        out.append((lead + line, [(a + len(lead), b + len(lead)) for a, b in spans]))
+    return out
