@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from talkmill.plans.lineage import cut
 
 SHARD = 50_000
-GROUPS = 16
+GROUPS = 32
 #: A text larger than this share of the capacity is large.
-LARGE = 0.125
+LARGE = 0.25
 RESULT = "spec_id int, shard int, bin bigint, pos bigint, doc_id bigint, piece bigint, tokens bigint"
 
 
