@@ -8,8 +8,9 @@ word), and the sum of v + 1 over all segments exceeds H, then a similar pair
 agrees in one of the looked-at segments. Every record is indexed with its
 segments and their one-deletion neighbourhoods; a probing record chooses the v
 of its segments with the least total number of index entries met (cost-based
-allocation by dynamic programming over exact counts). Pairs that meet are
-verified exactly. No similar pair is lost, whatever the allocation.
+allocation by dynamic programming). The numbers come from a table of
+``BUCKETS`` counters over all index entries, which only steers the choice. Pairs
+that meet are verified exactly. No similar pair is lost, whatever the allocation.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 from math import ceil, floor
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,6 +32,8 @@ THRESHOLD = Fraction(7, 10)
 #: Segments per unit of H + 1; 0.5 is the least that is lossless, more leaves room to avoid frequent segments.
 SLACK = 0.65
 EXACT, DELETED = 0, 1
+#: Counters of the cost table, 4 bytes each: the size of what is broadcast, at any input.
+BUCKETS = 1 << 18
 
 
 def most_apart(total: int, t: Fraction) -> int:
@@ -59,8 +63,16 @@ def _split(words: list[str], count: int) -> list[list[str]]:
     return parts
 
 
-def _key(band: int, segment: int, words: list[str]) -> int:
-    return xxhash.xxh64_intdigest("\0".join([str(band), str(segment), *words])) - (1 << 63)
+def _key(kind: int, band: int, segment: int, words: list[str]) -> int:
+    return xxhash.xxh64_intdigest("\0".join([f"{kind} {band} {segment}", *words])) - (1 << 63)
+
+
+def _parities(words: list[str]) -> int:
+    """64 bits, each the parity of the number of words hashed to it. Two sets differ in at least as many words as bits."""
+    bits = 0
+    for w in words:
+        bits ^= 1 << (xxhash.xxh64_intdigest(w, seed=1) & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
 def _without_one(words: list[str]) -> list[list[str]]:
@@ -111,64 +123,70 @@ def similar_sets(sets: DataFrame, t: Fraction = THRESHOLD, slack: float = SLACK)
         for size in range(low, min(high, largest) + 1):
             band_at[size] = i
 
+    def entries_of(words: list[str]) -> Iterator[int]:
+        band = band_at[len(words)]
+        for i, part in enumerate(_split(words, counts[band])):
+            yield _key(EXACT, band, i, part)
+            for less in _without_one(part):
+                yield _key(DELETED, band, i, less)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            keys = [k % BUCKETS for words in batch.column(0).to_pylist() for k in entries_of(words)]
+            table += np.bincount(np.array(keys, np.int64), minlength=BUCKETS)
+        used = np.nonzero(table)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(table[used], pa.int64())], names=["bucket", "n"])
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, kind, sid, size = [], [], [], []
+            keys, sids, sizes, bits = [], [], [], []
             for s, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                band = band_at[len(words)]
-                for i, part in enumerate(_split(words, counts[band])):
-                    found = [(_key(band, i, part), EXACT), *((_key(band, i, x), DELETED) for x in _without_one(part))]
-                    for k, how in found:
-                        key.append(k), kind.append(how), sid.append(s), size.append(len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kind, pa.int8()), pa.array(sid, pa.int64()), pa.array(size, pa.int32())], names=["key", "kind", "sid", "size"])
+                found = list(entries_of(words))
+                keys += found
+                sids += [s] * len(found)
+                sizes += [len(words)] * len(found)
+                bits += [_parities(words)] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.int64())], names=["key", "sid_b", "size_b", "bits_b"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sid", "band", "units", "size", "segment", "wide", "key", "kind"]
-        kinds = [pa.int64(), pa.int16(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int8()]
+        met = table.value
         for batch in batches:
-            rows: list[tuple] = []
+            keys, sids, sizes, bits = [], [], [], []
             for s, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                size = len(words)
+                size, found = len(words), []
                 for band in {band_at[size], max(0, band_at[size] - 1)}:
                     low, high = max(limits[band][0], ceil(t * size)), min(limits[band][1], size)
                     units = max((most_apart(size + x, t) for x in range(low, high + 1)), default=-1) + 1
                     if units < 1:
                         continue
+                    ways = []
                     for i, part in enumerate(_split(words, counts[band])):
-                        whole, head = _key(band, i, part), (s, band, units, size, i)
-                        rows += [(*head, False, whole, EXACT), (*head, True, whole, DELETED)]
-                        rows += [(*head, True, _key(band, i, x), EXACT) for x in _without_one(part)]
-            columns = list(zip(*rows)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sids, sizes, keys, hows = [], [], [], []
-            for s, size, band, units, entries in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                costs = [[0, 0] for _ in range(counts[band])]
-                for e in entries:
-                    costs[e["segment"]][1] += e["met"]
-                    if not e["wide"]:
-                        costs[e["segment"]][0] += e["met"]
-                picked = allocate([tuple(c) for c in costs], units)
-                for e in entries:
-                    if picked[e["segment"]] >= e["wide"]:
-                        sids.append(s), sizes.append(size), keys.append(e["key"]), hows.append(e["kind"])
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.array(hows, pa.int8())], names=["sid", "size", "key", "kind"])
+                        equal = _key(EXACT, band, i, part)
+                        near = [equal, _key(DELETED, band, i, part), *(_key(EXACT, band, i, less) for less in _without_one(part))]
+                        ways.append((equal, near))
+                    costs = [(int(met[equal % BUCKETS]), sum(int(met[k % BUCKETS]) for k in near)) for equal, near in ways]
+                    for v, (equal, near) in zip(allocate(costs, units), ways):
+                        found += [equal] if v == 0 else near if v == 1 else []
+                keys += found
+                sids += [s] * len(found)
+                sizes += [size] * len(found)
+                bits += [_parities(words)] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.int64())], names=["key", "sid", "size", "bits"])
 
     if not limits:
         return spark.createDataFrame([], "sid_a bigint, sid_b bigint")
-    entries = cut(sets.select("sid", "words").mapInArrow(index, "key bigint, kind tinyint, sid bigint, size int"))
-    met = entries.groupBy("key", "kind").agg(F.count("*").alias("met"))
-    probes = sets.select("sid", "words").mapInArrow(probe, "sid bigint, band smallint, units int, size int, segment int, wide boolean, key bigint, kind tinyint")
-    # Entries that the index lacks cost nothing and find nothing, so the inner join drops them.
-    priced = probes.join(met, ["key", "kind"])
-    plans = priced.groupBy("sid", "size", "band", "units").agg(F.collect_list(F.struct("segment", "wide", "key", "kind", "met")).alias("entries"))
-    chosen = plans.mapInArrow(choose, "sid bigint, size int, key bigint, kind tinyint")
-    other = entries.select("key", "kind", F.col("sid").alias("sid_b"), F.col("size").alias("size_b"))
+    counted = sets.select("words").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    costs = np.zeros(BUCKETS, np.int64)
+    costs[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    table = spark.sparkContext.broadcast(np.minimum(costs, 2**31 - 1).astype(np.int32))
+    chosen = sets.select("sid", "words").mapInArrow(probe, "key bigint, sid bigint, size int, bits bigint")
+    entries = sets.select("sid", "words").mapInArrow(index, "key bigint, sid_b bigint, size_b int, bits_b bigint")
     ordered = (F.col("size_b") < F.col("size")) | ((F.col("size_b") == F.col("size")) & (F.col("sid_b") < F.col("sid")))
-    fits = F.col("size_b") * t.denominator >= F.col("size") * t.numerator
-    pairs = chosen.join(other, ["key", "kind"]).where(ordered & fits).select(F.col("sid").alias("sid_a"), "sid_b").distinct()
+    total, whole = F.col("size") + F.col("size_b"), t.numerator + t.denominator
+    apart = total - 2 * F.floor((total * t.numerator + (whole - 1)) / whole)  # as most_apart
+    fits = (F.col("size_b") * t.denominator >= F.col("size") * t.numerator) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_b"))) <= apart)
+    pairs = chosen.join(entries, "key").where(ordered & fits).select(F.col("sid").alias("sid_a"), "sid_b").distinct()
     a, b = sets.select(F.col("sid").alias("sid_a"), F.col("words").alias("wa")), sets.select(F.col("sid").alias("sid_b"), F.col("words").alias("wb"))
     common = F.size(F.array_intersect("wa", "wb"))
     similar = common * (t.numerator + t.denominator) >= (F.size("wa") + F.size("wb")) * t.numerator
