@@ -24,6 +24,7 @@ SHARD = 50_000
 GROUPS = 32
 #: A text larger than this share of the capacity is large.
 LARGE = 0.25
+MOST_SPECS = 1000
 RESULT = "spec_id int, shard int, bin bigint, pos bigint, doc_id bigint, piece bigint, tokens bigint"
 
 
@@ -123,7 +124,9 @@ def fill(documents: DataFrame, specs: DataFrame, shard: int = SHARD) -> DataFram
     shards = max(1, -(-docs.count() // shard))
     wanted = specs.where("capacity_tokens > 0").select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
     # One row per spec: specs are few, so each document meets them in an array rather than in a join.
-    few = [(r["spec_id"], r["capacity"]) for r in wanted.orderBy("spec_id").limit(1000).collect()]
+    few = [(r["spec_id"], r["capacity"]) for r in wanted.orderBy("spec_id").limit(MOST_SPECS + 1).collect()]
+    if len(few) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} specs")
     if not few:
         return documents.sparkSession.createDataFrame([], "spec_id int, container string, pos bigint, doc_id bigint, piece bigint, tokens bigint")
     spec = F.explode(F.array(*[F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("bigint").alias("capacity")) for s, c in few]))
