@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.plans.lineage import cut
+
 # Fixed values, from Unicode's public list of confusable characters: for each
 # Latin letter the letters of other scripts that look like it.
 LOOKS = {
@@ -146,7 +148,7 @@ def reading_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(form, pa.binary()), pa.array(raw, pa.binary())], names=["key", "form", "raw"])
 
     present = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
-    rows = present.mapInArrow(digests, f"key {kind}, form binary, raw binary")
+    rows = cut(present.mapInArrow(digests, f"key {kind}, form binary, raw binary"))
     several = rows.groupBy("form").agg(F.min("raw").alias("x"), F.max("raw").alias("y")).where("x <> y").select("form")
     meets = rows.join(several, "form").distinct()
     left, right = meets.toDF("form", "doc_a", "raw_a"), meets.toDF("form", "doc_b", "raw_b")
