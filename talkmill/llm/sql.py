@@ -11,4 +11,14 @@ SQL = {
         SELECT n AS entity, min(m) AS group_key FROM (SELECT n, m FROM r) GROUP BY n
         HAVING min(m) <> n OR n IN (SELECT m FROM r WHERE n <> m AND n > m)
     """,
+    "p6_facts": """
+        WITH RECURSIVE e AS (
+            SELECT DISTINCT a, b FROM (
+                SELECT list_filter(list_prepend(canonical, coalesce(members, [])), lambda x: x IS NOT NULL)[1] AS a,
+                       unnest(list_filter(list_prepend(canonical, coalesce(members, [])), lambda x: x IS NOT NULL)) AS b FROM merge_proposals)),
+        u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r(n, m) AS (SELECT a, a FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.n WHERE r.m < u.b),
+        g AS (SELECT n AS entity, min(m) AS group_key FROM r GROUP BY n)
+        SELECT coalesce(group_key, f.entity) AS group_key, count(DISTINCT id) AS facts FROM (SELECT id, unnest(entities) AS entity FROM facts) f LEFT JOIN g USING (entity) GROUP BY 1
+    """,
 }
