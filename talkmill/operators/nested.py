@@ -17,7 +17,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _REPEATED = re.compile(r"\[\]|\.\*")
@@ -157,6 +157,11 @@ def flatten(df: DataFrame, payload: str, keep: Sequence[str], tables: Sequence[F
     return flat.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "flat_table", "record_no", "ordinals", "flat_values")
 
 
+def columns_of(table: FlatTable) -> dict[str, Column]:
+    """The columns of a table in rows of :func:`flatten`; meaningful where ``flat_table`` is its name."""
+    return {c: F.get("flat_values", F.lit(i)) for i, c in enumerate(table.columns)}
+
+
 def table_of(flat: DataFrame, table: FlatTable, keep: Sequence[str]) -> DataFrame:
     """One table of :func:`flatten`: kept columns, ``row_key``, ``parent_key`` (of the nearest repeated ancestor, null at the top), its columns.
 
@@ -168,5 +173,5 @@ def table_of(flat: DataFrame, table: FlatTable, keep: Sequence[str]) -> DataFram
         *keep, "ordinals",
         F.to_json(steps).alias("row_key"),
         F.when(F.size(steps) > 1, F.to_json(above)).alias("parent_key"),
-        *[F.get("flat_values", F.lit(i)).alias(c) for i, c in enumerate(table.columns)],
+        *[value.alias(c) for c, value in columns_of(table).items()],
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.operators.incremental import undistilled_contents
-from talkmill.operators.nested import FlatTable, flatten, table_of
+from talkmill.operators.nested import FlatTable, columns_of, flatten, table_of
 from talkmill.operators.timestamps import normalise
 from talkmill.queries.tables import read
 
@@ -32,9 +32,9 @@ LINE_BLOCKS = FlatTable("line_blocks", "$.message.content[]", {
 })
 
 
-def _said(text: str, kind: str) -> Column:
+def _said(text: Column, kind: Column) -> Column:
     """A string with a character other than white space."""
-    return (F.col(kind) == "string") & F.col(text).rlike(r"(?U)\S")
+    return (kind == "string") & text.rlike(r"(?U)\S")
 
 
 def _export_rows(spark: SparkSession, folder: str, tables: list[FlatTable]) -> DataFrame:
@@ -43,29 +43,31 @@ def _export_rows(spark: SparkSession, folder: str, tables: list[FlatTable]) -> D
 
 
 def text_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """``src, rec_id, node_key, parent_key, block_no``: one row per text block of both record tables."""
-    keep = ["rec_id", "source_kind"]
-    exports = _export_rows(spark, folder, [PARTS, MESSAGES, BLOCKS])
-    kind, key, last = F.lower("source_kind"), F.get("ordinals", F.lit(0)), F.get("ordinals", F.lit(1)).cast("bigint")
-    parts = table_of(exports, PARTS, keep).where((kind == "chatgpt") & (_said("value", "kind") | ((F.col("kind") == "object") & _said("text", "text_kind"))))
-    said = table_of(exports, MESSAGES, keep).where((kind == "claude") & _said("text", "text_kind"))
-    blocks = table_of(exports, BLOCKS, keep).where((kind == "claude") & (F.col("type") == "text") & _said("text", "text_kind"))
-    whole = F.lit(-1).cast("bigint")
-
-    def rows(df: DataFrame, src: str, node: Column, parent: str, block: Column) -> DataFrame:
-        return df.select(F.lit(src).alias("src"), "rec_id", node.alias("node_key"), F.coalesce(F.col(parent), F.lit("")).alias("parent_key"), block.alias("block_no"))
+    """``src, rec_id, node_key, parent_key, block_no``: one row per text block of both record tables.
 
+    Each payload is parsed once; the rows of all its tables pass one projection.
+    """
+    table, kind = F.col("flat_table"), F.lower("source_kind")
+    key, last, whole = F.get("ordinals", F.lit(0)), F.get("ordinals", F.lit(1)).cast("bigint"), F.lit(-1).cast("bigint")
+    exports = _export_rows(spark, folder, [PARTS, MESSAGES, BLOCKS])
+    p, m, b = map(columns_of, (PARTS, MESSAGES, BLOCKS))
+    part = (table == PARTS.name) & (kind == "chatgpt") & (_said(p["value"], p["kind"]) | ((p["kind"] == "object") & _said(p["text"], p["text_kind"])))
+    text = (table == MESSAGES.name) & (kind == "claude") & _said(m["text"], m["text_kind"])
+    block = (table == BLOCKS.name) & (kind == "claude") & (b["type"] == "text") & _said(b["text"], b["text_kind"])
+    above = F.when(table == PARTS.name, p["parent"]).when(table == MESSAGES.name, m["uuid"]).otherwise(b["uuid"])
+    none = F.lit("")
+    of_exports = exports.where(part | text | block).select(
+        F.lit("exports").alias("src"), "rec_id", key.alias("node_key"), F.coalesce(above, none).alias("parent_key"), F.when(table == MESSAGES.name, whole).otherwise(last).alias("block_no")
+    )
     lines = flatten(read(spark, folder, "jsonl_records"), "payload", ["rec_id"], [LINES, LINE_BLOCKS])
-    plain = table_of(lines, LINES, ["rec_id"]).where((F.col("message_kind") == "object") & _said("content", "content_kind"))
-    typed = table_of(lines, LINE_BLOCKS, ["rec_id"]).where((F.col("type") == "text") & _said("text", "text_kind"))
-    found = [
-        rows(parts, "exports", key, "parent", last), rows(said, "exports", key, "uuid", whole), rows(blocks, "exports", key, "uuid", last),
-        rows(plain, "jsonl", F.col("uuid"), "parent", whole), rows(typed, "jsonl", F.col("uuid"), "parent", key.cast("bigint")),
-    ]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    r, t = columns_of(LINES), columns_of(LINE_BLOCKS)
+    plain = (table == LINES.name) & (r["message_kind"] == "object") & _said(r["content"], r["content_kind"])
+    typed = (table == LINE_BLOCKS.name) & (t["type"] == "text") & _said(t["text"], t["text_kind"])
+    uuid, parent = F.when(table == LINES.name, r["uuid"]).otherwise(t["uuid"]), F.when(table == LINES.name, r["parent"]).otherwise(t["parent"])
+    of_lines = lines.where(plain | typed).select(
+        F.lit("jsonl").alias("src"), "rec_id", uuid.alias("node_key"), F.coalesce(parent, none).alias("parent_key"), F.when(table == LINES.name, whole).otherwise(key.cast("bigint")).alias("block_no")
+    )
+    return of_exports.unionByName(of_lines).distinct()
 
 
 def chatgpt_nodes(spark: SparkSession, folder: str) -> DataFrame:
