@@ -46,10 +46,13 @@ def sparse_scores(archive: DataFrame, key: str, query: str, text: str = "text")
     """
     rows = archive.count()
     wanted = query_vector(archive.sparkSession, query)
-    vectors = sparse_vectors(archive, key, text).join(wanted, "token_id")
-    df = vectors.groupBy("token_id").agg(F.count("*").alias("df"))
+    words = archive.select(key, F.explode(tokenize(F.col(text))).alias("word"))
+    # Distinct words are hashed, not their occurrences; those that hash to a token of the query are few.
+    terms = words.select("word").distinct().select("word", fnv1a(F.col("word")).alias("token_id")).join(wanted, "token_id")
+    hits = words.join(terms, "word").groupBy(key, "token_id", "q").agg(F.count("*").alias("n"))
+    df = hits.groupBy("token_id").agg(F.count("*").alias("df"))
     weight = F.log((F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    return vectors.join(df, "token_id").groupBy(key).agg(F.sum(F.col("q") * weight * F.col("weight")).alias("score"))
+    return hits.join(df, "token_id").groupBy(key).agg(F.sum(F.col("q") * weight * saturated(F.col("n"))).alias("score"))
 
 
 def dense_scores(archive: DataFrame, key: str, vector: list[float], column: str = "embedding") -> DataFrame:

@@ -87,8 +87,7 @@ def path_project(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def redact_rules(spark: SparkSession, folder: str) -> DataFrame:
-    text, found = tx.redact(F.col("text"))
-    return turns(spark, folder).where("text IS NOT NULL").select("turn_id", found.alias("found"), F.md5(text).alias("digest"))
+    return tx.redact(turns(spark, folder).where("text IS NOT NULL").select("turn_id", "text")).select("turn_id", "found", F.md5("text").alias("digest"))
 
 
 def detect_source(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import point_id, redact
@@ -17,7 +17,8 @@ from talkmill.operators.chunking import chunk_sessions
 from talkmill.schemas import LEDGER
 from talkmill.sources.parsers import detect, from_files, parse_all
 
-Redactor = Callable[[Column], tuple[Column, Column]]
+#: Rewrites ``text`` and adds ``found``, the number of replacements.
+Redactor = Callable[[DataFrame], DataFrame]
 
 
 def new_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -34,8 +35,7 @@ def ingest(files: DataFrame, ledger: DataFrame, redactor: Redactor = redact) ->
     """
     fresh = new_files(files, ledger)
     turns = parse_all(fresh.select("path", "device", "content"))
-    text, found = redactor(F.col("text"))
-    clean = turns.withColumn("found", found).withColumn("text", text)
+    clean = redactor(turns)
     sessions = clean.groupBy("session_id").agg(*[F.first(c).alias(c) for c in ("path", "source_tool", "device", "project", "started_at")])
     chunks = chunk_sessions(clean).join(sessions, "session_id").join(fresh.select("path", "content_hash"), "path")
     archive = chunks.select(
