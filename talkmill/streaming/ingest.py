@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from talkmill.functions.text import point_id, redact
 from talkmill.operators.chunking import chunk_sessions
+from talkmill.plans.lineage import cut
 from talkmill.schemas import LEDGER
 from talkmill.sources.parsers import detect, from_files, parse_all
 
@@ -35,12 +36,12 @@ def ingest(files: DataFrame, ledger: DataFrame, redactor: Redactor = redact) ->
     """
     fresh = new_files(files, ledger)
     turns = parse_all(fresh.select("path", "device", "content"))
-    clean = redactor(turns)
+    clean = cut(redactor(turns))  # each file is parsed and redacted once
     sessions = clean.groupBy("session_id").agg(*[F.first(c).alias(c) for c in ("path", "source_tool", "device", "project", "started_at")])
     chunks = chunk_sessions(clean).join(sessions, "session_id").join(fresh.select("path", "content_hash"), "path")
-    archive = chunks.select(
+    archive = cut(chunks.select(
         point_id(F.col("session_id"), F.col("chunk_index")).alias("point_id"), "session_id", "source_tool", "device", "project", F.col("started_at").alias("ts"), "turn_range", "text", "content_hash", "path",
-    )
+    ))
     per_turns = clean.groupBy("path").agg(F.countDistinct("session_id").cast("int").alias("sessions"), F.sum("found").cast("int").alias("secrets_found"))
     per_chunks = archive.groupBy("path").agg(F.count("*").cast("int").alias("chunks"))
     rows = fresh.join(per_turns, "path", "left").join(per_chunks, "path", "left")
