@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 from math import ceil, floor
 
 import numpy as np
@@ -32,10 +33,12 @@ THRESHOLD = Fraction(7, 10)
 #: Segments per unit of H + 1; 0.5 is the least that is lossless, more leaves room to avoid frequent segments.
 SLACK = 0.65
 EXACT, DELETED = 0, 1
+U64, SIGN = (1 << 64) - 1, 1 << 63
 #: Counters of the cost table, 4 bytes each: the size of what is broadcast, at any input.
 BUCKETS = 1 << 18
 
 
+@lru_cache(maxsize=1 << 16)
 def most_apart(total: int, t: Fraction) -> int:
     """Most words that two sets of together ``total`` words and similarity t or more differ in."""
     return total - 2 * ceil(t * total / (1 + t))
@@ -56,29 +59,36 @@ def segments_of(band: tuple[int, int], t: Fraction, slack: float) -> int:
     return max(1, ceil(slack * (apart + 1)))
 
 
-def _split(words: list[str], count: int) -> list[list[str]]:
-    parts: list[list[str]] = [[] for _ in range(count)]
-    for w in words:
-        parts[xxhash.xxh64_intdigest(w) % count].append(w)
+def _hashes(words: list[str]) -> list[int]:
+    return [xxhash.xxh64_intdigest(w) for w in words]
+
+
+def _split(hashes: list[int], count: int) -> list[list[int]]:
+    parts: list[list[int]] = [[] for _ in range(count)]
+    for h in hashes:
+        parts[h % count].append(h)
     return parts
 
 
-def _key(kind: int, band: int, segment: int, words: list[str]) -> int:
-    return xxhash.xxh64_intdigest("\0".join([f"{kind} {band} {segment}", *words])) - (1 << 63)
+@lru_cache(maxsize=1 << 16)
+def _place(kind: int, band: int, segment: int) -> int:
+    return xxhash.xxh64_intdigest(f"{kind} {band} {segment}")
+
+
+def _keys(kind: int, band: int, segment: int, part: list[int], without_one: bool) -> list[int]:
+    """Key of a segment's words, or of all but each one of them: the sum of their hashes, so leaving one out is a subtraction."""
+    whole = sum(part) + _place(kind, band, segment)
+    return [((whole - h) & U64) - SIGN for h in part] if without_one else [(whole & U64) - SIGN]
 
 
-def _parities(words: list[str]) -> int:
+def _parities(hashes: list[int]) -> int:
     """64 bits, each the parity of the number of words hashed to it. Two sets differ in at least as many words as bits."""
     bits = 0
-    for w in words:
-        bits ^= 1 << (xxhash.xxh64_intdigest(w, seed=1) & 63)
+    for h in hashes:
+        bits ^= 1 << (h >> 58)
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def _without_one(words: list[str]) -> list[list[str]]:
-    return [words[:i] + words[i + 1 :] for i in range(len(words))]
-
-
 def allocate(costs: list[tuple[int, int]], units: int) -> list[int]:
     """v of each segment with the least cost such that the sum of v + 1 is at least ``units``; costs are those of v = 0 and v = 1."""
     endless = float("inf")
@@ -123,56 +133,64 @@ def similar_sets(sets: DataFrame, t: Fraction = THRESHOLD, slack: float = SLACK)
         for size in range(low, min(high, largest) + 1):
             band_at[size] = i
 
-    def entries_of(words: list[str]) -> Iterator[int]:
-        band = band_at[len(words)]
-        for i, part in enumerate(_split(words, counts[band])):
-            yield _key(EXACT, band, i, part)
-            for less in _without_one(part):
-                yield _key(DELETED, band, i, less)
+    def entries_of(hashes: list[int]) -> list[int]:
+        band, found = band_at[len(hashes)], []
+        for i, part in enumerate(_split(hashes, counts[band])):
+            found += _keys(EXACT, band, i, part, False)
+            found += _keys(DELETED, band, i, part, True)
+        return found
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            keys = [k % BUCKETS for words in batch.column(0).to_pylist() for k in entries_of(words)]
-            table += np.bincount(np.array(keys, np.int64), minlength=BUCKETS)
+            keys = [k for words in batch.column(0).to_pylist() for k in entries_of(_hashes(words))]
+            table += np.bincount(np.array(keys, np.int64) % BUCKETS, minlength=BUCKETS)
         used = np.nonzero(table)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(table[used], pa.int64())], names=["bucket", "n"])
 
+    def rows_of(found: list[tuple[list[int], int, int, int]], names: list[str]) -> pa.RecordBatch:
+        """Keys with the record's sid, size and parities repeated for each."""
+        times = [len(x[0]) for x in found]
+        columns = [np.fromiter((k for x in found for k in x[0]), np.int64, sum(times))]
+        columns += [np.repeat(np.array([x[c] for x in found], kind), times) for c, kind in ((1, np.int64), (2, np.int32), (3, np.int64))]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=names)
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sids, sizes, bits = [], [], [], []
+            found = []
             for s, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = list(entries_of(words))
-                keys += found
-                sids += [s] * len(found)
-                sizes += [len(words)] * len(found)
-                bits += [_parities(words)] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.int64())], names=["key", "sid_b", "size_b", "bits_b"])
+                hashes = _hashes(words)
+                found.append((entries_of(hashes), s, len(words), _parities(hashes)))
+            yield rows_of(found, ["key", "sid_b", "size_b", "bits_b"])
+
+    def chosen_keys(hashes: list[int], met: np.ndarray) -> list[int]:
+        size, found = len(hashes), []
+        for band in {band_at[size], max(0, band_at[size] - 1)}:
+            low, high = max(limits[band][0], ceil(t * size)), min(limits[band][1], size)
+            units = max((most_apart(size + x, t) for x in range(low, high + 1)), default=-1) + 1
+            if units < 1:
+                continue
+            ways = []
+            for i, part in enumerate(_split(hashes, counts[band])):
+                equal = _keys(EXACT, band, i, part, False)
+                ways.append((equal, equal + _keys(DELETED, band, i, part, False) + _keys(EXACT, band, i, part, True)))
+            prices = met[np.array([k for _, near in ways for k in near], np.int64) % BUCKETS].tolist()
+            costs, at = [], 0
+            for _, near in ways:
+                costs.append((prices[at], sum(prices[at : at + len(near)])))
+                at += len(near)
+            for v, (equal, near) in zip(allocate(costs, units), ways):
+                found += equal if v == 0 else near if v == 1 else []
+        return found
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = table.value
         for batch in batches:
-            keys, sids, sizes, bits = [], [], [], []
+            found = []
             for s, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                size, found = len(words), []
-                for band in {band_at[size], max(0, band_at[size] - 1)}:
-                    low, high = max(limits[band][0], ceil(t * size)), min(limits[band][1], size)
-                    units = max((most_apart(size + x, t) for x in range(low, high + 1)), default=-1) + 1
-                    if units < 1:
-                        continue
-                    ways = []
-                    for i, part in enumerate(_split(words, counts[band])):
-                        equal = _key(EXACT, band, i, part)
-                        near = [equal, _key(DELETED, band, i, part), *(_key(EXACT, band, i, less) for less in _without_one(part))]
-                        ways.append((equal, near))
-                    costs = [(int(met[equal % BUCKETS]), sum(int(met[k % BUCKETS]) for k in near)) for equal, near in ways]
-                    for v, (equal, near) in zip(allocate(costs, units), ways):
-                        found += [equal] if v == 0 else near if v == 1 else []
-                keys += found
-                sids += [s] * len(found)
-                sizes += [size] * len(found)
-                bits += [_parities(words)] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.int64())], names=["key", "sid", "size", "bits"])
+                hashes = _hashes(words)
+                found.append((chosen_keys(hashes, met), s, len(words), _parities(hashes)))
+            yield rows_of(found, ["key", "sid", "size", "bits"])
 
     if not limits:
         return spark.createDataFrame([], "sid_a bigint, sid_b bigint")
