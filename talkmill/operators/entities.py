@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from talkmill.functions.text import any_of, normalize_entity
 from talkmill.plans.lineage import cut
 
-SHORTEST, LEAST_RATIO = 3, 0.3
+# Shortest normal form compared, least ratio of lengths in tenths.
+SHORTEST, LEAST_TENTHS = 3, 3
+LONG = 256
 SAMPLES = 3
 # Reasons that contradict the merge they come with, matched without regard to case.
 CONTRADICTIONS = (
@@ -34,13 +36,21 @@ def names_of(facts: DataFrame) -> DataFrame:
 def entity_pairs(names: DataFrame) -> DataFrame:
     """``a, b`` (a < b): names of which one is, in letters and digits, a prefix of the other and not much shorter.
 
-    A pair shares its first three normal characters, so names meet there; on a
-    block's distinct normal forms first, then with the names that have each form.
+    Each normal form is joined with its own prefixes, so names that merely begin
+    alike never meet, however many do. Forms beyond ``LONG`` characters, whose
+    prefixes would be too many, meet shorter ones on their first characters instead.
     """
     rows = names.select("entity", normalize_entity(F.col("entity")).alias("form")).where(F.length("form") >= SHORTEST)
-    forms = rows.select("form", F.substring("form", 1, SHORTEST).alias("block")).distinct()
-    left, right = forms.toDF("form_a", "block"), forms.toDF("form_b", "block")
-    near = left.join(right, "block").where(F.col("form_b").startswith(F.col("form_a")) & (F.length("form_a") >= F.length("form_b") * LEAST_RATIO))
+    forms = rows.select("form").distinct()
+    size = F.length("form")
+    least = F.greatest(F.lit(SHORTEST), F.floor((size * LEAST_TENTHS + 9) / 10).cast("int"))
+    lengths = F.explode(F.sequence(least, size))
+    heads = forms.where(size <= LONG).select(F.col("form").alias("form_b"), lengths.alias("n")).select("form_b", F.expr("substring(form_b, 1, n)").alias("form_a"))
+    near = heads.join(forms.withColumnRenamed("form", "form_a"), "form_a").select("form_a", "form_b")
+    block = F.substring("form", 1, SHORTEST).alias("block")
+    far = forms.select(F.col("form").alias("form_a"), block).join(forms.where(size > LONG).select(F.col("form").alias("form_b"), block), "block")
+    far = far.where(F.col("form_b").startswith(F.col("form_a")) & (F.length("form_a") * 10 >= F.length("form_b") * LEAST_TENTHS))
+    near = near.unionByName(far.select("form_a", "form_b"))
     a, b = rows.toDF("name_a", "form_a"), rows.toDF("name_b", "form_b")
     met = near.join(a, "form_a").join(b, "form_b").where("name_a <> name_b")
     return met.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")).distinct()
