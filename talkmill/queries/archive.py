@@ -107,7 +107,7 @@ def markdown_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def extract_json(spark: SparkSession, folder: str) -> DataFrame:
-    return jsontext.with_json(turns(spark, folder).where("text LIKE '%{%'"), "turn_id", "text").where("json IS NOT NULL")
+    return jsontext.with_json(turns(spark, folder).where(F.col("text").rlike(r"[\[{]")), "turn_id", "text").where("json IS NOT NULL")
 
 
 def sparse_vectors(spark: SparkSession, folder: str) -> DataFrame:

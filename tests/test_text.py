@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from talkmill.functions import jsontext
 from talkmill.functions import text as tx
 from talkmill.functions.vector import cosine
+from talkmill.queries import archive
 
 
 def values(spark, rows, data, column):
@@ -43,6 +44,13 @@ def test_json_in_prose():
     assert jsontext.extract_json("none") is None and jsontext.extract_json('{"a": 1') is None and jsontext.extract_json(None) is None
 
 
+def test_registered_query_takes_arrays(spark, rows, tmp_path):
+    data = [(1, 'run ["A_KEY"]'), (2, 'say {"a": 1}'), (3, "none"), (4, None), (5, "open ["), (1, 'run ["A_KEY"]')]
+    rows(data, "turn_id int, text string").write.parquet(str(tmp_path / "turns.parquet"))
+    got = archive.QUERIES["extract_json"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(1, '["A_KEY"]'), (2, '{"a":1}')]
+
+
 def test_cosine(spark, rows):
     df = rows([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     assert [round(r[0], 4) for r in df.select(cosine(F.col("a"), F.col("b"))).collect()] == [0.7071, 0.0]
