@@ -28,6 +28,13 @@ def test_chains_hubs_and_levels(spark, rows):
     assert got == brute(edges)
 
 
+def test_ordered_chain_converges(spark, rows):
+    """As many partitions as links: names in ascending order need no more levels than others."""
+    edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(200)]
+    got = components(rows(edges, "a string, b string"), edges_per_task=1).collect()
+    assert len(got) == 201 and {r["group_key"] for r in got} == {"n000"}
+
+
 def test_empty_and_clashing_columns(spark, rows):
     assert components(rows([], "a string, b string")).count() == 0
     df = rows([("y", "z", "n", "r")], "a string, b string, node string, root string")
