@@ -24,6 +24,16 @@ def attainable_budget(supply: DataFrame) -> float:
     return float(best or 0)
 
 
+def horizon(sources: list[tuple[int, float, int]], tokens: float) -> float:
+    """The virtual time by which sources of (tokens, weight, max_repeats) can deliver ``tokens``, or the time all of them are used up."""
+    done, at, rate = 0.0, 0.0, sum(weight for _, weight, _ in sources)
+    for end, weight in sorted((size * repeats / weight, weight) for size, weight, repeats in sources):
+        if done + rate * (end - at) >= tokens:
+            return at + (tokens - done) / rate
+        done, at, rate = done + rate * (end - at), end, rate - weight
+    return at
+
+
 def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = SHUFFLE_SEED) -> DataFrame:
     """``source, doc_id, tokens, repeats``: the documents of the mix and how often each is used.
 
@@ -37,20 +47,22 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     wanted = targets.groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("max_repeats")).where("share > 0 AND max_repeats > 0 AND source IS NOT NULL")
     docs = documents.where("tokens > 0 AND doc_id IS NOT NULL").join(wanted.select("source"), "source", "left_semi")
     docs = cut(docs.groupBy("source", "doc_id").agg(F.max("tokens").cast("bigint").alias("tokens")))
-    supply = docs.groupBy("source").agg(F.sum("tokens").alias("source_tokens")).join(wanted, "source")
+    supply = docs.groupBy("source").agg(F.sum("tokens").alias("source_tokens"), F.max("tokens").alias("largest")).join(wanted, "source")
     # mix_targets has one row per source: few by definition, like a configuration.
     total_share = supply.agg(F.sum("share")).first()[0] or 1.0
-    supply = cut(supply.select("source", F.col("source_tokens").alias("tokens"), (F.col("share") / F.lit(total_share)).alias("weight"), "max_repeats"))
+    supply = cut(supply.select("source", F.col("source_tokens").alias("tokens"), (F.col("share") / F.lit(total_share)).alias("weight"), "max_repeats", "largest"))
     limit = float(budget) if budget is not None else attainable_budget(supply)
     placed = running_total(docs.withColumn("lot", F.xxhash64("source", "doc_id", F.lit(seed))), ["source"], ["lot", "doc_id"], F.col("tokens"), "delivered")
-    # A pass can only be reached if the passes before it end within the budget, with one document's slack.
-    passes = F.least(F.col("max_repeats").cast("bigint"), F.floor(F.lit(limit) * F.col("weight") / F.col("s.tokens")) + 2)
+    # At a virtual time a source lags by less than its largest document, so within the budget no time
+    # passes the one by which all can deliver the budget and their largest documents; one pass more for rounding.
+    known = supply.collect()
+    last = horizon([(x["tokens"], x["weight"], x["max_repeats"]) for x in known], limit + sum(x["largest"] for x in known))
+    passes = F.least(F.col("max_repeats").cast("bigint"), F.floor(F.lit(last) * F.col("weight") / F.col("s.tokens")) + 2)
     rows = placed.alias("d").join(supply.alias("s"), "source").select(
         "source", "doc_id", F.col("d.tokens").alias("tokens"), "weight", F.col("s.tokens").alias("source_tokens"), "delivered", "lot",
         F.explode(F.sequence(F.lit(0).cast("bigint"), passes - 1)).alias("turn"),
     )
     timed = rows.select("source", "doc_id", "tokens", "turn", "lot", ((F.col("delivered") + F.col("turn") * F.col("source_tokens")) / F.col("weight")).alias("finish"))
-    # Behind the budget by more than the slack nothing can be within it; this only shortens the sort.
     queued = running_total(timed, [], ["finish", "source", "doc_id", "turn"], F.col("tokens"), "so_far")
     used = queued.where(F.col("so_far") <= F.lit(limit))
     return used.groupBy("source", "doc_id").agg(F.max("tokens").alias("tokens"), F.count("*").alias("repeats"))

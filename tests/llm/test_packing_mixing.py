@@ -87,3 +87,11 @@ def test_tokens(spark, rows):
     got = {r["id"]: r["tokens"] for r in with_tokens(df, "text").collect()}
     assert got[1] == len(encode.encode_ordinary(text)) and got[2] == got[3] == 0 and got[4] > 0
     assert with_tokens(df.limit(0), "text").count() == 0
+
+
+def test_passes_beside_long_documents_and_used_up_sources(spark, rows):
+    """A small source repeats for as long as the others lag by a long document or give no more."""
+    targets = rows([("a", 0.5, 1000), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    for long, budget, want in ((100, 110, {("a", 100)}), (5, 300, {("a", 295), ("b", 1)})):
+        docs = rows([("a", 1, 1), ("b", 2, long)], "source string, doc_id bigint, tokens int")
+        assert {(r["source"], r["repeats"]) for r in mixing.mix(docs, targets, budget).collect()} == want
