@@ -9,6 +9,7 @@ from talkmill.functions.text import strip
 from talkmill.plans.prefix import running_total
 
 SEPARATOR = "\n\n"
+TRUNCATED = "\n[truncated]\n>>>"
 
 
 def turn_bounds(turn_range: Column) -> tuple[Column, Column]:
@@ -56,10 +57,23 @@ def recent_sessions(chunks: DataFrame, limit: int = 10) -> DataFrame:
     return found.orderBy(F.desc_nulls_last("last_ts"), "session_id").limit(max(1, min(100, limit)))
 
 
-def budget_truncate(blocks: DataFrame, order: list[str], size: str, budget: int) -> DataFrame:
-    """Rows, best first, while their sizes sum to at most ``budget``. For results of a top-k report, which are few."""
+def budget_truncate(blocks: DataFrame, order: list[str], size: str, budget: int, text: str | None = None, header: str | None = None) -> DataFrame:
+    """Rows, best first, while their sizes sum to at most ``budget``. For results of a top-k report, which are few.
+
+    With ``text``, the framed blocks, of which ``size`` is the length, a first
+    block beyond the budget is cut into it, so that results are never dropped
+    altogether, unless the budget leaves less than 80 characters beside ``header``.
+    """
     so_far = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return blocks.withColumn("used", so_far).where(F.col("used") <= budget)
+    rows = blocks.withColumn("used", so_far)
+    if text is None:
+        return rows.where(F.col("used") <= budget)
+    room = F.lit(budget) > (F.coalesce(F.length(header), F.lit(0)) if header else F.lit(0)) + 80
+    first = F.row_number().over(Window.orderBy(*order)) == 1
+    kept = rows.withColumn("__cut", first & (F.col("used") > budget) & room).where((F.col("used") <= budget) | F.col("__cut"))
+    short = F.concat(F.substring(text, 1, budget - 20), F.lit(TRUNCATED))
+    sizes = {c: F.when(F.col("__cut"), F.length(short)).otherwise(F.col(c)).cast(rows.schema[c].dataType) for c in (size, "used")}
+    return kept.withColumns({**sizes, text: F.when(F.col("__cut"), short).otherwise(F.col(text))}).drop("__cut")
 
 
 def archive_header(tool: Column, project: Column, ts: Column, session: Column, turns: Column, score: Column) -> Column:

@@ -29,6 +29,13 @@ def test_budget_upsert_delete(spark, rows):
     assert ar.delete_where(df, rows([(1,), (1,)], "id int"), "id").count() == 2
 
 
+def test_budget_cuts_a_first_block_into_it(spark, rows):
+    df = rows([(i, "h" * 10, t, len(t)) for i, t in enumerate(["x" * 300, "y"])], "id int, header string, text string, n int")
+    cut = lambda budget, d=df: [(r["id"], r["text"], r["n"], r["used"]) for r in ar.budget_truncate(d, ["id"], "n", budget, "text", "header").collect()]
+    assert cut(200) == [(0, "x" * 180 + "\n[truncated]\n>>>", 196, 196)] and cut(90) == []
+    assert cut(300) == [(0, "x" * 300, 300, 300)] and cut(200, df.where("id = 1")) == [(1, "y", 1, 1)] and cut(200, df.limit(0)) == []
+
+
 def test_merge_same_role(spark, rows):
     df = rows([("s", 0, "user", "a"), ("s", 1, "user", "b"), ("s", 2, None, "c"), ("s", 3, "user", "d")], "session_id string, turn_index int, role string, text string")
     assert sorted((r["island"], r["text"]) for r in ar.merge_same_role(df).collect()) == [(1, "a\n\nb"), (2, "c"), (3, "d")]
