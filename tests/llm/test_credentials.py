@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from talkmill.llm import credentials as cr
@@ -62,3 +63,15 @@ def test_redaction_changes_nothing_else():
         text = f"say\n  GH_TOKEN: {secret}\r\ndone {fill.n()}"
         spans = cr.spans_of([text], cr.field())[0]
         assert [text[a:b] for a, b in spans] == [secret]
+
+
+def test_every_line_reaches_the_field(spark, rows):
+    """A field that takes every token for a credential is asked about all lines."""
+    eager = cr.Field(np.tile(np.array([0, 1, 0], np.float32), (1 << cr.BITS, 1)), np.zeros((3, 3), np.float32))
+    lines = ["password swordfish", "mysql -u root -pswordfish", "sid: swordfish", "ab", "plain words"]
+    for line in lines:
+        assert cr.spans_of([line], eager)[0], line
+    text = "\n".join([*lines, lines[0]])
+    assert [text[a:b] for a, b in cr.spans_of([text], eager)[0]].count("swordfish") == 4
+    df = rows([(x,) for x in [*lines, "", None]], "text string")
+    assert df.where(cr.may_hold(df["text"])).count() == len(lines)
