@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.functions.jsonstream import compact
+
 _FENCED = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 _SIGN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]|"', re.S)
 _CONTROL = re.compile(r"[\x00-\x1f]")
@@ -34,10 +35,7 @@ def extract_json(text: str | None) -> str | None:
         if depth == 0:
             found = body[begin.start() : sign.end()]
             escaped = _SIGN.sub(lambda m: _CONTROL.sub(lambda c: f"\\u{ord(c[0]):04x}", m[0]) if m[0][0] == '"' else m[0], found)
-            try:
-                return json.dumps(json.loads(escaped), ensure_ascii=False, separators=(",", ":"))
-            except (ValueError, RecursionError):
-                return None
+            return compact(escaped)
     return None
 
 

@@ -1,17 +1,17 @@
 """Deeply nested JSON records into flat tables that keep parent-child links.
 
-Every record is parsed into (path, ordinals, value) triples. A path is written
-with ``[]`` for any array element and ``.*`` for any entry of an object that
-serves as a map; the ordinals are the array positions and map keys met on the
-way, so they identify a row and, cut shorter, each of its ancestors. Paths are
+Every record is read as a stream of tokens into (path, ordinals, value) triples;
+its tree is never built, so records may be nested as deeply as they like. A path
+is written with ``[]`` for any array element and ``.*`` for any entry of an object
+that serves as a map; the ordinals are the array positions and map keys met on
+the way, so they identify a row and, cut shorter, each of its ancestors. Paths are
 grouped by the repeated ancestor they hang from, and each group is pivoted into
 one table. All triples of a record come from one row, so grouping and pivot
-happen where the record is parsed and nothing is shuffled.
+happen where the record is read and nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.functions.jsonstream import Found, plan_of, read_records
+
 _REPEATED = re.compile(r"\[\]|\.\*")
 
 
@@ -43,107 +45,44 @@ class FlatTable:
         return f"{self.path}{'' if not path or path.startswith('[') else '.'}{path}"
 
 
-def _kind(value: object) -> str:
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, str):
-        return "string"
-    if isinstance(value, dict):
-        return "object"
-    return "array" if isinstance(value, list) else "number"
-
-
-def _refuse(constant: str) -> None:
-    raise ValueError(f"{constant} is not JSON")
-
-
-def parse(text: str | None) -> object | None:
-    """The JSON value of a text, None if it isn't valid JSON or nested deeper than the parser goes."""
-    if not text:
-        return None
-    try:
-        return json.loads(text, parse_constant=_refuse)
-    except (ValueError, RecursionError):
-        return None
-
-
-def triples(record: object, keyed: frozenset[str], wanted: frozenset[str] | None = None) -> Iterator[tuple[str, tuple, object]]:
-    """(path, ordinals, value) of every value in the record, in document order.
-
-    ``keyed`` are the paths of objects used as maps. Branches on the way to no
-    wanted path are not walked; None wants all.
-    """
-    open_paths = None if wanted is None else {p[:i] for p in wanted for i in range(1, len(p) + 1) if i == len(p) or p[i] in ".["}
-    stack: list[tuple[str, tuple, object]] = [("$", (), record)]
-    while stack:
-        path, ordinals, value = stack.pop()
-        if open_paths is not None and path not in open_paths:
-            continue
-        yield path, ordinals, value
-        if isinstance(value, dict):
-            if path in keyed:
-                stack.extend((f"{path}.*", (*ordinals, k), v) for k, v in reversed(value.items()))
-            else:
-                stack.extend((f"{path}.{k}", ordinals, v) for k, v in reversed(value.items()))
-        elif isinstance(value, list):
-            stack.extend((f"{path}[]", (*ordinals, i), v) for i, v in zip(range(len(value) - 1, -1, -1), reversed(value)))
-
-
-def _text(value: object) -> str | None:
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value, ensure_ascii=False)
-
-
-def pivot(record: object, tables: Sequence[FlatTable], keyed: frozenset[str]) -> Iterator[tuple[str, list[str], list[str | None]]]:
-    """(table, ordinals, values in the order of the table's columns) of one record."""
-    wanted = frozenset(p for t in tables for p in (t.path, *map(t.absolute, t.columns)))
-    groups: dict[str, dict[tuple, object]] = {}
-    for path, ordinals, value in triples(record, keyed, wanted):
-        if path in wanted:
-            groups.setdefault(path, {})[ordinals] = value
+def pivot(found: Found, tables: Sequence[FlatTable]) -> Iterator[tuple[str, list[str], list[str | None]]]:
+    """(table, ordinals, values in the order of the table's columns) of the wanted values of one record."""
     for table in tables:
         columns = [
-            (groups.get(path := table.absolute(c), {}), len(_REPEATED.findall(path)), spec.endswith("#type"))
+            (found.get(path := table.absolute(c), {}), len(_REPEATED.findall(path)), spec.endswith("#type"))
             for c, spec in table.columns.items()
         ]
-        for ordinals in groups.get(table.path, {}):
+        for ordinals in found.get(table.path, {}):
             values = []
-            for found, depth, kind in columns:
-                key = ordinals[:depth]
-                if kind:
-                    values.append(_kind(found[key]) if key in found else None)
-                else:
-                    values.append(_text(found.get(key)))
+            for given, depth, kind in columns:
+                value = given.get(ordinals[:depth])
+                values.append(None if value is None else value.kind if kind else None if value.kind == "null" else str(value))
             yield table.name, [str(x) for x in ordinals], values
 
 
-def flatten(df: DataFrame, payload: str, keep: Sequence[str], tables: Sequence[FlatTable], keyed: Sequence[str] = ()) -> DataFrame:
+def flatten(df: DataFrame, payload: str, keep: Sequence[str], tables: Sequence[FlatTable]) -> DataFrame:
     """Rows ``keep..., flat_table, record_no, ordinals, flat_values`` for each table; see :func:`table_of`.
 
     ``record_no`` is the position in a top-level array, 0 for a single record.
     A payload that is null, empty or not valid JSON gives no rows. Missing and
-    null fields both come out null (``#type`` tells them apart). Repeated rows
-    of ``df`` give repeated rows. Kept columns are carried as they are.
+    null fields both come out null (``#type`` tells them apart); objects, arrays
+    and numbers come out as they are written. Repeated rows of ``df`` give repeated rows. Kept columns are carried as they are.
     """
-    tables, maps, names = list(tables), frozenset(keyed), [f"__k{i}" for i in range(len(keep))]
+    tables, names = list(tables), [f"__k{i}" for i in range(len(keep))]
+    wanted = frozenset(p for t in tables for p in (t.path, *map(t.absolute, t.columns)))
     source = df.select(F.col(payload).alias("__payload"), *[F.col(c).alias(n) for c, n in zip(keep, names)])
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:])
     schema = f"{kept}{', ' if kept else ''}flat_table string, record_no bigint, ordinals array<string>, flat_values array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = plan_of(wanted)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 index, name, number, ordinals, values = [], [], [], [], []
                 for i, text in enumerate(part.column(0).to_pylist()):
-                    record = parse(text)
-                    for n, one in enumerate(record if isinstance(record, list) else [record]):
-                        if not isinstance(one, dict):
-                            continue
-                        for t, o, v in pivot(one, tables, maps):
+                    for n, found in read_records(text, plan):
+                        for t, o, v in pivot(found, tables):
                             index.append(i), name.append(t), number.append(n), ordinals.append(o), values.append(v)
                 take = pa.array(index, pa.int64())
                 columns = [part.column(1 + i).take(take) for i in range(len(names))]

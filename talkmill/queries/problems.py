@@ -39,7 +39,7 @@ def _said(text: Column, kind: Column) -> Column:
 
 def _export_rows(spark: SparkSession, folder: str, tables: list[FlatTable]) -> DataFrame:
     exports = read(spark, folder, "export_conversations")
-    return flatten(exports, "payload", ["rec_id", "source_kind"], tables, ["$.mapping"])
+    return flatten(exports, "payload", ["rec_id", "source_kind"], tables)
 
 
 def text_blocks(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkmill.functions.jsonstream import Found, Value, plan_of, read_records
 from talkmill.functions.text import basename, blank_to_null, strip
-from talkmill.operators.nested import parse
 from talkmill.schemas import TURN_FIELDS, TURNS
 
 # Kinds of sources in the order their marks are looked for.
@@ -133,21 +133,34 @@ def parse_markdown(files: DataFrame) -> DataFrame:
     ))
 
 
-def branch(record: dict) -> list[tuple[str, str, int | None]]:
+_CHATGPT = plan_of(frozenset([
+    "$.conversation_id", "$.id", "$.title", "$.create_time", "$.current_node", "$.mapping.*", "$.mapping.*.parent", "$.mapping.*.message.author.role", "$.mapping.*.message.create_time", "$.mapping.*.message.content.parts[]",
+]))
+
+
+def _seconds(value: Value | None) -> int | None:
+    return round(float(str(value)) * 1000) if value is not None and value.kind == "number" else None
+
+
+def branch(found: Found) -> list[tuple[str, str, int | None]]:
     """(role, text, ms) on the way from the root to current_node; a circle ends the walk."""
-    mapping, key, seen, path = record.get("mapping"), record.get("current_node"), set(), []
-    while isinstance(mapping, dict) and isinstance(key, str) and key in mapping and key not in seen:
+    at = lambda path, *place: found.get(path, {}).get(place)
+    texts: dict[str, list[str]] = {}
+    for (key, _), part in found.get("$.mapping.*.message.content.parts[]", {}).items():
+        if part.kind == "string":
+            texts.setdefault(key, []).append(str(part))
+    current, seen, path = at("$.current_node"), set(), []
+    key = str(current) if current is not None and current.kind == "string" else None
+    while key is not None and key not in seen and at("$.mapping.*", key) is not None:
         seen.add(key)
-        path.append(mapping[key])
-        key = mapping[key].get("parent") if isinstance(mapping[key], dict) else None
+        path.append(key)
+        above = at("$.mapping.*.parent", key)
+        key = str(above) if above is not None and above.kind == "string" else None
     out = []
-    for node in reversed(path):
-        message = node.get("message") if isinstance(node, dict) else None
-        role = ((message or {}).get("author") or {}).get("role")
-        parts = ((message or {}).get("content") or {}).get("parts") or []
-        at = (message or {}).get("create_time")
-        if role in SPOKEN:
-            out.append((role, "\n".join(p for p in parts if isinstance(p, str)), round(at * 1000) if isinstance(at, (int, float)) else None))
+    for key in reversed(path):
+        role = at("$.mapping.*.message.author.role", key)
+        if role is not None and role.kind == "string" and str(role) in SPOKEN:
+            out.append((str(role), "\n".join(texts.get(key, ())), _seconds(at("$.mapping.*.message.create_time", key))))
     return out
 
 
@@ -158,18 +171,16 @@ def parse_chatgpt(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for path, device, content in zip(*(c.to_pylist() for c in batch.columns)):
-                records = parse(content)
-                for one in records if isinstance(records, list) else []:
-                    key = isinstance(one, dict) and (one.get("conversation_id") or one.get("id"))
-                    if key:
-                        at = one.get("create_time")
-                        start = round(at * 1000) if isinstance(at, (int, float)) else None
-                        rows += [(path, f"chatgpt:{key}", "chatgpt", one.get("title"), device, None, start, i, r, t, ms) for i, (r, t, ms) in enumerate(branch(one))]
+                for _, found in read_records(content, _CHATGPT) if content.lstrip().startswith("[") else ():
+                    text = lambda name, found=found: str(v) if (v := found.get(f"$.{name}", {}).get(())) is not None and v.kind != "null" else None
+                    if key := text("conversation_id") or text("id"):
+                        start = _seconds(found.get("$.create_time", {}).get(()))
+                        rows += [(path, f"chatgpt:{key}", "chatgpt", text("title"), device, None, start, i, r, t, ms) for i, (r, t, ms) in enumerate(branch(found))]
             columns = list(zip(*rows)) or [()] * 11
             kinds = [pa.string()] * 6 + [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=TURN_FIELDS)
 
-    flat = files.select("path", "device", "content").mapInArrow(run, TURNS)
+    flat = files.select("path", "device", "content").where("content IS NOT NULL").mapInArrow(run, TURNS)
     return _turns(flat.withColumnRenamed("turn_index", "place"))
 
 
