@@ -44,13 +44,21 @@ def redacted_texts(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.redact(both, "text").where("redacted <> text").select("tbl", "row_id", "redacted").distinct()
 
 
-def rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+def _turns_kept(spark: SparkSession, folder: str) -> DataFrame:
     zones = read(spark, folder, "devices").select("device", "zone").dropDuplicates(["device"])
     return conversations.all_conversations(
         read(spark, folder, "oc_messages"), read(spark, folder, "export_conversations"), read(spark, folder, "jsonl_records"), zones
     )
 
 
+def rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    return _turns_kept(spark, folder).select("src", "session_key", "pos", "msg_key")
+
+
+def rebuilt_report(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.report(cut(_turns_kept(spark, folder)))
+
+
 def merged_entities(spark: SparkSession, folder: str) -> DataFrame:
     return components.entity_groups(read(spark, folder, "merge_proposals"))
 
@@ -97,6 +105,7 @@ QUERIES = {
     "p4_found": found_credentials,
     "p4_redacted": redacted_texts,
     "p5_found": rebuilt,
+    "p5_report": rebuilt_report,
     "p6_found": merged_entities,
     "p6_facts": fact_entities,
     "p8_pack": packed,

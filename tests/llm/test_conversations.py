@@ -36,8 +36,10 @@ def test_rows(spark, rows):
         (1, "c1", "content", "user", [{"type": "text", "text": "x"}], "", 1, None, None), (2, "c2", "content", "user", None, "hi", 2, None, None), (3, "c3", "content", "model", [{"type": "reasoning", "text": "x"}, {"type": "text", "text": None}, {"type": "text", "text": "y"}], None, 3, None, None),
     ]
     df = rows(data, OC)
-    assert kept(cv.from_rows(df)) == {"ok": ["m1", "m1b", "m2"], "content": ["c2", "c3"]}
-    assert cv.from_rows(df.limit(0)).count() == 0
+    df = df.unionByName(rows([oc(1, "ring", "r1", parent="r2"), oc(2, "ring", "r2", "ai", parent="r1")], OC))
+    for limit in (100_000, 1):
+        assert kept(cv.rebuild(cv.from_rows(df), limit)) == {"ok": ["m1", "m1b", "m2"], "content": ["c2", "c3"]}
+    assert cv.rebuild(cv.from_rows(df.limit(0))).count() == 0
 
 
 def node(role, text, parent, **more):
@@ -79,8 +81,13 @@ def test_lines(spark, rows, limit):
         "none": [line("user", "u", None, session=None), line("assistant", "a", "u", session=None)], "unanswered": [line("user", "u", None, session="un")], "nouuid": [line("user", None, None, session="nu"), line("assistant", "a", None, session="nu")],
     }
     zones = rows([("d", "UTC")], "device string, zone string")
-    assert kept(cv.from_lines(lines(rows, files), zones, limit)) == {"s": ["u1", "a1", "a2"]}
-    assert cv.from_lines(lines(rows, files).limit(0), zones).count() == 0
+    assert kept(cv.rebuild(cv.from_lines(lines(rows, files), zones), limit)) == {"s": ["u1", "a1", "a2"]}
+    assert cv.rebuild(cv.from_lines(lines(rows, files).limit(0), zones)).count() == 0
+
+
+def test_report(spark, rows):
+    turns = rows([("oc", "a", 0, "x", "user"), ("oc", "a", 1, "y", "assistant"), ("oc", "b", 0, "x", "user"), ("oc", "b", 1, "z", "user"), ("oc", "b", 2, "y", "assistant")], cv.TURNS)
+    assert [tuple(r) for r in cv.report(turns).collect()] == [("oc", 2, 5, 1)]
 
 
 def test_large_graphs_are_ordered_alike(spark, rows):
@@ -93,7 +100,7 @@ def test_large_graphs_are_ordered_alike(spark, rows):
             data.append((f"s{s}", f"n{i:03}", parent, rng.choice([None, rng.randrange(50)]), "user" if i % 2 == 0 else "assistant", True))
         data.append((f"s{s}", "zend", "n199", 10**9, "assistant", True))
     data += [("cyc", "a", "b", 1, "user", True), ("cyc", "b", "a", 1, "assistant", True), ("cyc", "r", None, 1, "user", True)]
-    df = rows(data, "session_key string, msg_key string, parent string, time bigint, role string, said boolean")
+    df = rows(data, "session_key string, msg_key string, parent string, time bigint, role string, said boolean").selectExpr("'jsonl' AS src", "*", "false AS bad")
     small, large = kept(cv.rebuild(df)), kept(cv.rebuild(df, graph_limit=1))
     assert small == large and "cyc" not in small
     for s, order in small.items():
