@@ -8,6 +8,11 @@ is chosen depends only on the looks, so equal looks give equal spellings. The
 remaining forms (width, ligatures, spaces, hyphens, invisible characters,
 composition of accents) are then normalised. Letter case, accents, digits and
 wording stay as they are.
+
+What looks alike is Unicode's public list of confusable characters, in the form
+the ICU library brings along with Spark: the driver asks it for the prototype of
+every letter and sign once and keeps those entries that respect case and digits
+(``Looks``, a few thousand characters at most, whatever the data).
 """
 
 from __future__ import annotations
@@ -15,28 +20,23 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.plans.lineage import cut
 
-# Fixed values, from Unicode's public list of confusable characters: for each
-# Latin letter the letters of other scripts that look like it.
-LOOKS = {
-    "a": "аα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ց", "h": "һհ", "i": "іι", "j": "јϳ", "k": "", "l": "ӏ", "n": "ո", "o": "оοօ",
-    "p": "рρ", "q": "ԛզ", "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уγ",
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІӀΙ", "J": "ЈͿ", "K": "КΚ", "M": "МΜϺ", "N": "Ν",
-    "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "U": "Ս", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "УΥҮ", "Z": "Ζ", "L": "Լ",
-}
-# Hyphens that look like the plain one, quotation marks that look alike.
-SIGNS = {"‐": "-", "‑": "-", "﹣": "-", "ʼ": "’", ";": ";", "·": "·"}
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
-_LOOK = {c: latin for latin, others in LOOKS.items() for c in latin + others}
+# Letters that look like a Latin one though the public list gives them another prototype.
+MORE = {"k": "кκĸ", "v": "ѵν", "y": "γ", "g": "ց", "Y": "Ү", "L": "Լ", "S": "Տ", "O": "Օ", "F": "Ϝ", "q": "զ"}
+# Signs of the same look without an ASCII one.
+SIGNS = {"·": "·"}
+#: The script a token is spelled in where several would do; then in order of name.
+FIRST = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
 _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
-_FOLDED = ("<wide>", "<narrow>", "<noBreak>", "<compat>")
+_WIDTHS = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 
 
 def script_of(letter: str) -> str:
@@ -44,106 +44,156 @@ def script_of(letter: str) -> str:
     return unicodedata.name(letter, "?").split(" ")[0].removesuffix("-")
 
 
-def _spellings() -> dict[str, dict[str, str]]:
-    """look -> script -> the letter to write in that script (the first listed)."""
-    table: dict[str, dict[str, str]] = {}
-    for latin, others in LOOKS.items():
-        for c in latin + others:
-            table.setdefault(latin, {}).setdefault(script_of(c), c)
-    return table
-
-
-_SPELL = _spellings()
-
-
-def resolved_scripts(token: str) -> set[str]:
+@dataclass(frozen=True)
+class Looks:
+    """``letter``: the Latin letter that each look-alike letter looks like; ``sign``: the ASCII signs that each sign looks like."""
+
+    letter: dict[str, str]
+    sign: dict[str, str]
+    spell: dict[str, dict[str, str]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        """look -> script -> the letter to write in that script: the Latin letter itself, else the first by code point."""
+        for c, look in [*((x, x) for x in sorted(set(self.letter.values()))), *sorted(self.letter.items())]:
+            self.spell.setdefault(look, {}).setdefault(script_of(c), c)
+            self.letter.setdefault(c, look)
+
+
+@lru_cache(maxsize=1)
+def looks(spark: SparkSession) -> Looks:
+    """The table for this session's ICU. A letter looks like a Latin one of its own case only, and no letter or sign like a digit."""
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+
+    def prototypes(characters: list[str]) -> dict[str, str]:
+        return dict(zip(characters, checker.getSkeleton("\n".join(characters)).split("\n"), strict=True))
+
+    of_ascii: dict[str, list[str]] = {}
+    for c, prototype in prototypes([chr(c) for c in range(33, 127)]).items():
+        of_ascii.setdefault(prototype, []).append(c)
+    # Ideographs and syllables of the large blocks have no Latin look; surrogates are no characters.
+    large = ((0x3400, 0x9FFF), (0xAC00, 0xDFFF), (0x17000, 0x18CFF), (0x20000, 0x3FFFF), (0xE0000, 0x10FFFF))
+    others = [c for c in map(chr, range(0x80, 0xE0000)) if not any(a <= ord(c) <= b for a, b in large) and (unicodedata.category(c)[0] in "LPS") and unicodedata.normalize("NFD", c) == c]
+    letter, sign = {}, {}
+    for c, prototype in prototypes(others).items():
+        kind, alike = unicodedata.category(c), of_ascii.get(prototype, [])
+        fits = [x for x in alike if x.isalpha() and (x.isupper() == (kind == "Lu") or kind == "Lo")]
+        if kind in ("Lu", "Ll", "Lo") and fits:
+            letter[c] = fits[-1]
+        elif kind[0] in "PS" or kind == "Lm":
+            signs = [x for x in alike if not x.isalnum()]
+            if signs or prototype and all(x.isascii() and not x.isalnum() for x in prototype):
+                sign[c] = signs[0] if signs else prototype
+    letter |= {c: latin for latin, alike in MORE.items() for c in alike}
+    return Looks(letter, sign | SIGNS)
+
+
+def resolved_scripts(token: str, table: Looks) -> set[str]:
     """Scripts in which every letter of a decomposed token has a letter of the same look."""
     left: set[str] | None = None
     for c in token:
         if unicodedata.combining(c):
             continue
-        look = _LOOK.get(c)
-        found = set(_SPELL[look]) if look else {script_of(c)}
+        look = table.letter.get(c)
+        found = set(table.spell[look]) if look else {script_of(c)}
         left = found if left is None else left & found
     return left or set()
 
 
-def confusable_kind(token: str) -> str:
+def confusable_kind(token: str, table: Looks) -> str:
     """``mixed`` (letters of several scripts), ``whole`` (one script, but another has the same look) or ``single``."""
     letters = [c for c in unicodedata.normalize("NFD", token) if c.isalpha()]
     if len({script_of(c) for c in letters}) > 1:
         return "mixed"
-    return "whole" if len(resolved_scripts("".join(letters))) > 1 else "single"
-
-
-@lru_cache(maxsize=200_000)
-def _spell(token: str) -> str:
-    """A decomposed token in its consistent script."""
-    scripts = resolved_scripts(token)
-    chosen = next((s for s in (*SCRIPTS, *sorted(scripts)) if s in scripts), "LATIN")
-    return "".join(_SPELL[_LOOK[c]].get(chosen, _LOOK[c]) if c in _LOOK else c for c in token)
-
-
-@lru_cache(maxsize=20_000)
-def _fold(c: str) -> str:
-    """A character without regard to width and ligature; white space other than line ends becomes a plain space."""
-    if c in SIGNS:
-        return SIGNS[c]
-    if c in "\n\r\t":
-        return c
-    category = unicodedata.category(c)
-    if category == "Cf" or c in "͏ᅟᅠ឴឵ㅤﾠ" or "︀" <= c <= "️":
-        return ""
-    if category == "Zs":
-        return " "
-    kind, _, codes = unicodedata.decomposition(c).partition(" ")
-    if kind in _FOLDED:
-        parts = "".join(chr(int(x, 16)) for x in codes.split())
-        if kind != "<compat>" or "ﬀ" <= c <= "ﬆ":
-            return "".join(map(_fold, parts))
-    return c
-
-
-def consistent_form(text: str) -> str:
-    """The form shared by all texts that read like ``text``."""
-    if text.isascii():
-        return text.replace("\r\n", "\n").replace("\r", "\n")
-    changed = {c: _fold(c) for c in set(text) if not c.isascii()}
-    folded = text.translate({ord(c): f for c, f in changed.items() if f != c}).replace("\r\n", "\n").replace("\r", "\n")
-    if folded.isascii():
-        return folded
-    apart = unicodedata.normalize("NFD", folded)
-    return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: m[0] if m[0].isascii() else _spell(m[0]), apart))
-
-
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1).to_pylist()
-        forms = pa.array([None if t is None else consistent_form(t) for t in texts], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], forms], names=[*batch.schema.names[:-1], "form"])
+    return "whole" if len(resolved_scripts("".join(letters), table)) > 1 else "single"
+
+
+class Former:
+    """Brings texts to their consistent form; keeps the spellings of the tokens it met, of which there are at most ``MOST`` at a time."""
+
+    MOST = 200_000
+
+    def __init__(self, table: Looks):
+        self.table, self.spelled, self.folded = table, {}, {}
+
+    def spell(self, token: str) -> str:
+        """A decomposed token in its consistent script."""
+        table = self.table
+        scripts = resolved_scripts(token, table)
+        chosen = next((s for s in (*FIRST, *sorted(scripts)) if s in scripts), "LATIN")
+        return "".join(table.spell[table.letter[c]].get(chosen, table.letter[c]) if c in table.letter else c for c in token)
+
+    def fold(self, c: str) -> str:
+        """A character without regard to width, font and ligature; white space other than line ends becomes a plain space."""
+        kind, _, codes = unicodedata.decomposition(c).partition(" ")
+        # Width and font come before look. Of the other compatibility forms only ligatures and Roman numerals are letters joined as they are.
+        if kind in _WIDTHS or kind == "<compat>" and ("ﬀ" <= c <= "ﬆ" or "Ⅰ" <= c <= "ⅿ"):
+            return "".join(self.fold(chr(int(x, 16))) if int(x, 16) > 127 else chr(int(x, 16)) for x in codes.split())
+        if c in self.table.sign:
+            return self.table.sign[c]
+        category = unicodedata.category(c)
+        if category == "Cf" or c in "͏ᅟᅠ឴឵ㅤﾠ" or "︀" <= c <= "️":
+            return ""
+        return " " if category == "Zs" else c
+
+    def _token(self, m: re.Match[str]) -> str:
+        token = m[0]
+        if token.isascii():
+            return token
+        found = self.spelled.get(token)
+        if found is None:
+            if len(self.spelled) >= self.MOST:
+                self.spelled.clear()
+            found = self.spelled[token] = self.spell(token)
+        return found
+
+    def __call__(self, text: str) -> str:
+        """The form shared by all texts that read like ``text``."""
+        text = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
+        if text.isascii():
+            return text
+        changed = {}
+        for c in set(text):
+            if not c.isascii():
+                found = self.folded.get(c)
+                if found is None:
+                    found = self.folded[c] = self.fold(c)
+                if found != c:
+                    changed[ord(c)] = found
+        folded = text.translate(changed) if changed else text
+        if folded.isascii():
+            return folded
+        return unicodedata.normalize("NFC", _TOKEN.sub(self._token, unicodedata.normalize("NFD", folded)))
 
 
 def with_form(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, form``: the consistent form of the whole text of each row; null stays null, an empty text empty."""
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_forms, f"key {kind}, form string").withColumnRenamed("key", key)
+    kind, table = df.schema[key].dataType.simpleString(), looks(df.sparkSession)
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        former = Former(table)
+        for batch in batches:
+            done = pa.array([None if t is None else former(t) for t in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), done], names=["key", "form"])
+
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(forms, f"key {kind}, form string").withColumnRenamed("key", key)
 
 
 def reading_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """``doc_a, doc_b``: rows with different strings that read the same, the smaller key first.
 
     Rows meet on a digest of the form. Forms that occur with one string only,
-    however many exact copies it has, are dropped before rows are paired; rows
-    of one string never meet each other. Null texts pair with nothing, repeated rows count once.
+    however many exact copies it has, are dropped before anything is paired; then
+    distinct strings meet, and their rows are added, so rows of one string never meet each other. Null texts pair with nothing, repeated rows count once.
     """
-    kind = df.schema[key].dataType.simpleString()
+    kind, table = df.schema[key].dataType.simpleString(), looks(df.sparkSession)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
+        former = Former(table)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            form = [blake2b(consistent_form(t).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+            form = [blake2b(former(t).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
             raw = [blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(form, pa.binary()), pa.array(raw, pa.binary())], names=["key", "form", "raw"])
 
@@ -151,5 +201,7 @@ def reading_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = cut(present.mapInArrow(digests, f"key {kind}, form binary, raw binary"))
     several = rows.groupBy("form").agg(F.min("raw").alias("x"), F.max("raw").alias("y")).where("x <> y").select("form")
     meets = rows.join(several, "form").distinct()
-    left, right = meets.toDF("form", "doc_a", "raw_a"), meets.toDF("form", "doc_b", "raw_b")
-    return left.join(right, "form").where("raw_a <> raw_b AND doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    strings = meets.select("form", "raw").distinct()
+    ties = strings.toDF("form", "raw_a").join(strings.toDF("form", "raw_b"), "form").where("raw_a < raw_b").select("raw_a", "raw_b")
+    found = ties.join(meets.select(F.col("raw").alias("raw_a"), F.col("key").alias("a")), "raw_a").join(meets.select(F.col("raw").alias("raw_b"), F.col("key").alias("b")), "raw_b")
+    return found.where("a <> b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()
