@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkmill.operators.incremental import undistilled_contents
 from talkmill.operators.nested import FlatTable, columns_of, flatten, table_of
-from talkmill.operators.timestamps import normalise
+from talkmill.operators.timestamps import normalise, unreadable
 from talkmill.queries.tables import read
 
 NODES = FlatTable("nodes", "$.mapping.*", {
@@ -79,8 +79,8 @@ def chatgpt_nodes(spark: SparkSession, folder: str) -> DataFrame:
     ).distinct()
 
 
-def instants(spark: SparkSession, folder: str) -> DataFrame:
-    """``src, rec_id, utc_ms`` of every readable time of the exports, the JSONL records and the turns."""
+def _dated(spark: SparkSession, folder: str) -> DataFrame:
+    """``src, rec_id, ts, utc_ms`` of every time of the exports, the JSONL records and the turns."""
     payload = F.try_parse_json("payload")
 
     def field(name: str) -> Column:
@@ -96,8 +96,16 @@ def instants(spark: SparkSession, folder: str) -> DataFrame:
     turns = read(spark, folder, "turns").select(F.lit("turns").alias("src"), F.col("turn_id").alias("rec_id"), "device", "ts")
     zones = read(spark, folder, "devices").select("device", "zone").dropDuplicates(["device"])
     rows = exports.unionByName(lines).unionByName(turns).where(F.col("ts").isNotNull())
-    dated = normalise(rows.join(zones, "device", "left"), "ts", "zone")
-    return dated.where(F.col("utc_ms").isNotNull()).select("src", "rec_id", "utc_ms").distinct()
+    return normalise(rows.join(zones, "device", "left"), "ts", "zone")
+
+
+def instants(spark: SparkSession, folder: str) -> DataFrame:
+    """``src, rec_id, utc_ms`` of every readable time."""
+    return _dated(spark, folder).where(F.col("utc_ms").isNotNull()).select("src", "rec_id", "utc_ms").distinct()
+
+
+def unreadable_times(spark: SparkSession, folder: str) -> DataFrame:
+    return unreadable(_dated(spark, folder), "src", "ts")
 
 
 def contents_to_distil(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,6 +117,7 @@ QUERIES = {
     "p1_nodes": chatgpt_nodes,
     "p3_found": contents_to_distil,
     "p7_found": instants,
+    "p7_unreadable": unreadable_times,
 }
 
 SQL = {

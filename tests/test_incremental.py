@@ -68,3 +68,57 @@ def test_failures_neither_skip_nor_repeat(spark, tmp_path):
     assert job.run(list_files(spark, str(inbox)), "3")
     assert sorted(r["path"][-5:] for r in job.results().collect()) == ["a.txt", "a.txt", "b.txt", "c.txt"]
     assert job.manifest().count() == 4
+
+
+def test_a_file_that_returns_to_an_earlier_content_is_processed(spark, tmp_path):
+    inbox, home = tmp_path / "in", str(tmp_path / "home")
+    inbox.mkdir()
+    job, ran = IncrementalJob(spark, home, lambda batch: batch.select("path", "checksum")), []
+    for i, text in enumerate(["A", "B", "A", "A"]):
+        (inbox / "a.txt").write_text(text)
+        ran.append(job.run(list_files(spark, str(inbox)), str(i)))
+    assert ran == [True, True, True, False] and job.results().count() == 3
+
+
+def test_two_runs_at_once(spark, tmp_path):
+    inbox, home = tmp_path / "in", str(tmp_path / "home")
+    inbox.mkdir()
+    (inbox / "a.txt").write_text("A")
+    listing, refused = list_files(spark, str(inbox)), []
+
+    def work(batch):
+        with pytest.raises(RuntimeError, match="batch 1 is running"):
+            IncrementalJob(spark, home, lambda b: b.select("path")).run(listing, "2")
+        refused.append(1)
+        return batch.select("path")
+
+    assert IncrementalJob(spark, home, work).run(listing, "1") and refused
+    assert not IncrementalJob(spark, home, work).run(listing, "2")
+
+
+def test_a_dead_batch_is_repeated_or_released(spark, tmp_path):
+    inbox, home = tmp_path / "in", str(tmp_path / "home")
+    inbox.mkdir()
+    (inbox / "a.txt").write_text("A")
+    listing = list_files(spark, str(inbox))
+    dead, job = IncrementalJob(spark, home, lambda batch: 1 / 0), IncrementalJob(spark, home, lambda batch: batch.select("path"))
+    with pytest.raises(ZeroDivisionError):
+        dead.run(listing, "1")
+    with pytest.raises(RuntimeError):
+        job.run(listing, "2")
+    job.release()
+    assert job.run(listing, "2") and job.results().count() == 1
+
+
+def test_known_files_are_not_read_again(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "a [1].txt").write_text("A")
+    (inbox / "b.txt").write_text("B")
+    first = {r["path"][-5:]: r for r in list_files(spark, str(inbox)).collect()}
+    known = list_files(spark, str(inbox)).selectExpr("path", "size", "concat('kept ', checksum) AS checksum", "modified", "1L AS number")
+    known = spark.createDataFrame(known.collect(), known.schema)
+    (inbox / "b.txt").write_text("BB")
+    again = {r["path"][-5:]: r for r in list_files(spark, str(inbox), known=known).collect()}
+    assert again["].txt"]["checksum"] == "kept " + first["].txt"]["checksum"] and len(again) == 2
+    assert again["b.txt"]["size"] == 2 and not again["b.txt"]["checksum"].startswith("kept")

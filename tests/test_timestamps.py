@@ -6,11 +6,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from talkmill.operators.timestamps import normalise, to_utc_ms, zone_table, zone_version
+from talkmill.operators.timestamps import ZoneTables, normalise, to_utc_ms, unreadable, zone_table, zone_tables, zone_version
 
 
 def one(text, zone=None):
-    return to_utc_ms([text], [zone])[0]
+    return to_utc_ms([text], [zone], zone_tables())[0]
 
 
 def ms(*args):
@@ -100,3 +100,21 @@ def test_whole_tables_against_a_plain_parser(spark):
 
     want = {("turns", r["turn_id"], t) for r in spark.read.parquet(f"{SMALL}/turns.parquet").collect() if (t := plainly(r["ts"], r["device"])) is not None}
     assert {tuple(r) for r in instants(spark, SMALL).where("src = 'turns'").collect()} == want
+
+
+def test_no_length_is_too_long(spark, rows):
+    zoned = "2024-03-01 10:00:00" + " " * 500 + "Europe/Berlin"
+    assert one(zoned) == one("2024-03-01 09:00:00Z") and one(" " * 300 + "1709287200" + "\t" * 300) == 1_709_287_200_000
+    assert one("1709287200." + "1" * 500) == 1_709_287_200_111 and one("x" * 100_000) is None and one("9" * 100_000) is None and one("2024-03-01 10:00:00 " + "Z" * 200) is None
+    df = rows([("a", zoned, None), ("a", "2024-06-30 23:59:60", None), ("a", "٢٠٢٤-01-01", None), ("b", " ", None), ("b", None, None)], "src string, ts string, zone string")
+    assert {tuple(r) for r in unreadable(normalise(df, "ts", "zone"), "src", "ts").collect()} == {("a", 3, 2), ("b", 0, 0)}
+
+
+def test_stored_tables_give_the_same(spark, rows):
+    tables = zone_tables()
+    again = ZoneTables.read(tables.rows(spark), tables.version)
+    assert again.version == zone_version() and set(again.of) == set(tables.of)
+    df = rows([("2024-10-27 02:30:00", "Europe/Berlin"), ("1950-07-01 12:00", "America/New_York"), ("2095-07-01 12:00", "America/New_York")], "ts string, zone string")
+    assert normalise(df, "ts", "zone").collect() == normalise(df, "ts", "zone", tables=again).collect()
+    odd = ZoneTables("odd", {"X/Y": again.of["UTC"]})
+    assert to_utc_ms(["2024-01-01 00:00:00"] * 2, ["X/Y", "UTC"], odd) == [1_704_067_200_000, None]
