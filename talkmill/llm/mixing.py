@@ -4,7 +4,11 @@ Each source's documents come in a shuffled order, pass after pass up to its
 repeat cap. The virtual finish time of a document is the number of tokens its
 source has delivered up to and including it, divided by the source's weight;
 ordered by it all sources progress in proportion to their weights. The mix is
-that order, cut at the total budget.
+that order, cut at the total budget; what a source is then still short of its
+share, by less than its next document, is filled with its next documents that fit.
+
+Without a budget the total is the largest at which all shares can be met, so one
+scarce source bounds it; ``shares`` says which, and what each source would allow.
 """
 
 from __future__ import annotations
@@ -64,15 +68,34 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     )
     timed = rows.select("source", "doc_id", "tokens", "turn", "lot", ((F.col("delivered") + F.col("turn") * F.col("source_tokens")) / F.col("weight")).alias("finish"))
     queued = running_total(timed, [], ["finish", "source", "doc_id", "turn"], F.col("tokens"), "so_far")
-    used = queued.where(F.col("so_far") <= F.lit(limit))
+    queued = cut(queued)
+    used = queued.where(F.col("so_far") <= F.lit(limit)).select("source", "doc_id", "tokens")
+    got = used.groupBy("source").agg(F.sum("tokens").alias("got"))
+    short = supply.join(got, "source", "left").select("source", F.floor(F.lit(limit) * F.col("weight") - F.coalesce("got", F.lit(0))).alias("short"))
+    after = queued.where(F.col("so_far") > F.lit(limit)).join(short, "source").where("tokens <= short")
+    filled = running_total(after, ["source"], ["finish", "doc_id", "turn"], F.col("tokens"), "more").where("more <= short")
+    room = limit - (used.agg(F.sum("tokens")).first()[0] or 0)  # a source may have passed its share by a document
+    filled = running_total(filled.drop("so_far"), [], ["finish", "source", "doc_id", "turn"], F.col("tokens"), "so_far").where(F.col("so_far") <= F.lit(room))
+    used = used.unionByName(filled.select("source", "doc_id", "tokens"))
     return used.groupBy("source", "doc_id").agg(F.max("tokens").alias("tokens"), F.count("*").alias("repeats"))
 
 
-def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """``source, target_share, actual_share, tokens, documents, uses``: what each source of the targets contributes; 0 for one that gives nothing."""
-    wanted = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"))
+def shares(mixed: DataFrame, targets: DataFrame, documents: DataFrame) -> DataFrame:
+    """``source, target_share, actual_share, tokens, documents, uses, allows, binds``: what each source of the targets contributes; 0 for one that gives nothing.
+
+    ``allows``: the largest total at which the source can give its share within
+    its repeat cap (null for one without tokens, whose share goes to the others);
+    ``binds``: whether it is the source that allows least.
+    """
+    wanted = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    stock = documents.where("tokens > 0 AND doc_id IS NOT NULL").groupBy("source", "doc_id").agg(F.max("tokens").alias("tokens")).groupBy("source").agg(F.sum("tokens").alias("stock"))
+    part = cut(wanted.join(stock, "source", "left"))
+    live = (F.col("stock") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
+    scale = part.where(live).agg(F.sum("target_share")).first()[0] or 1.0
+    allows = F.when(live, F.round(F.col("stock") * F.col("max_repeats") / (F.col("target_share") / F.lit(scale))))
+    part = part.select("source", "target_share", allows.cast("bigint").alias("allows"))
+    least = part.agg(F.min("allows")).first()[0]
     per = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.sum("repeats").alias("uses"))
-    whole = per.agg(F.sum("tokens").alias("whole"))
-    found = wanted.join(per, "source", "left").select("source", "target_share", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "documents", "uses")])
-    scale = whole.first()[0] or 1
-    return found.withColumn("actual_share", F.round(F.col("tokens") / F.lit(scale), 9))
+    total = per.agg(F.sum("tokens")).first()[0] or 1
+    found = part.join(per, "source", "left").select("source", "target_share", "allows", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "documents", "uses")])
+    return found.withColumns({"actual_share": F.round(F.col("tokens") / F.lit(total), 9), "binds": F.coalesce(F.col("allows") == F.lit(least), F.lit(False))})

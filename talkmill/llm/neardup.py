@@ -8,9 +8,11 @@ word), and the sum of v + 1 over all segments exceeds H, then a similar pair
 agrees in one of the looked-at segments. Every record is indexed with its
 segments and their one-deletion neighbourhoods; a probing record chooses the v
 of its segments with the least total number of index entries met (cost-based
-allocation by dynamic programming). The numbers come from a table of
-``BUCKETS`` counters over all index entries, which only steers the choice. Pairs
-that meet are verified exactly. No similar pair is lost, whatever the allocation.
+allocation, a unit at a time). The numbers come from two tables of ``BUCKETS``
+counters over all index entries under different hashes; of a key the smaller
+counter counts, less what chance puts into any, so frequent keys stand out at any
+input. They only steer the choice. Pairs that meet are verified exactly. No
+similar pair is lost, whatever the allocation.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from math import ceil, floor
 
 import numpy as np
@@ -34,8 +37,8 @@ THRESHOLD = Fraction(7, 10)
 SLACK = 0.65
 EXACT, DELETED = 0, 1
 U64, SIGN = (1 << 64) - 1, 1 << 63
-#: Counters of the cost table, 4 bytes each: the size of what is broadcast, at any input.
-BUCKETS = 1 << 18
+#: Counters of each of the two cost tables, 4 bytes each: 2 x 2 MB are broadcast, at any input.
+BUCKETS = 1 << 19
 
 
 @lru_cache(maxsize=1 << 16)
@@ -90,29 +93,48 @@ def _parities(hashes: list[int]) -> int:
 
 
 def allocate(costs: list[tuple[int, int]], units: int) -> list[int]:
-    """v of each segment with the least cost such that the sum of v + 1 is at least ``units``; costs are those of v = 0 and v = 1."""
-    endless = float("inf")
-    best = [0.0] + [endless] * units
-    chosen: list[list[int]] = []
-    for equal, near in costs:
-        nxt, pick = best[:], [-1] * (units + 1)
-        for have in range(units + 1):
-            if best[have] == endless:
-                continue
-            for v, cost in ((0, equal), (1, near)):
-                to = min(units, have + v + 1)
-                if best[have] + cost < nxt[to]:
-                    nxt[to], pick[to] = best[have] + cost, v * (units + 1) + have
-        best = nxt
-        chosen.append(pick)
-    out, at = [], units
-    for pick in reversed(chosen):
-        if pick[at] < 0:
-            out.append(-1)
+    """v of each segment with the least cost such that the sum of v + 1 is at least ``units``; costs are those of v = 0 and v = 1.
+
+    One unit more is bought at a time, at best by a step up of one segment or by
+    two of one and a step down of another: any cheaper change would hold one of
+    these or one that gains without a unit, which a best choice doesn't leave. So
+    the time grows with the units, not with their square.
+    """
+    # By kind of step: (price, segment, v it starts from); entries of segments that have moved on are skipped.
+    single = [(equal, i, -1) for i, (equal, _) in enumerate(costs)]
+    double = [(near, i, -1) for i, (_, near) in enumerate(costs)]
+    back: list[tuple[int, int, int]] = []
+    heapify(single), heapify(double)
+    out = [-1] * len(costs)
+
+    def top(heap: list[tuple[int, int, int]]) -> tuple[int, int, int] | None:
+        while heap and out[heap[0][1]] != heap[0][2]:
+            heappop(heap)
+        return heap[0] if heap else None
+
+    def move(i: int, v: int) -> None:
+        out[i] = v
+        equal, near = costs[i]
+        if v == -1:
+            heappush(single, (equal, i, -1)), heappush(double, (near, i, -1))
+        elif v == 0:
+            heappush(single, (near - equal, i, 0)), heappush(back, (-equal, i, 0))
         else:
-            v, at = divmod(pick[at], units + 1)
-            out.append(v)
-    return out[::-1]
+            heappush(back, (equal - near, i, 1))
+
+    for _ in range(min(units, 2 * len(costs))):
+        one, two, down = top(single), top(double), top(back)
+        if two is not None and down is not None and (one is None or two[0] + down[0] < one[0]):
+            move(two[1], 1)
+            move(down[1], down[2] - 1)
+        else:
+            move(one[1], one[2] + 1)
+    return out
+
+
+def _other(keys: np.ndarray) -> np.ndarray:
+    """The bucket of each key under the second hash."""
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 19)).astype(np.int64) % BUCKETS
 
 
 def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -141,10 +163,10 @@ def similar_sets(sets: DataFrame, t: Fraction = THRESHOLD, slack: float = SLACK)
         return found
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(BUCKETS, np.int64)
+        table = np.zeros(2 * BUCKETS, np.int64)
         for batch in batches:
-            keys = [k for words in batch.column(0).to_pylist() for k in entries_of(_hashes(words))]
-            table += np.bincount(np.array(keys, np.int64) % BUCKETS, minlength=BUCKETS)
+            keys = np.array([k for words in batch.column(0).to_pylist() for k in entries_of(_hashes(words))], np.int64)
+            table += np.bincount(np.concatenate([keys % BUCKETS, BUCKETS + _other(keys)]), minlength=2 * BUCKETS)
         used = np.nonzero(table)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(table[used], pa.int64())], names=["bucket", "n"])
 
@@ -174,7 +196,8 @@ def similar_sets(sets: DataFrame, t: Fraction = THRESHOLD, slack: float = SLACK)
             for i, part in enumerate(_split(hashes, counts[band])):
                 equal = _keys(EXACT, band, i, part, False)
                 ways.append((equal, equal + _keys(DELETED, band, i, part, False) + _keys(EXACT, band, i, part, True)))
-            prices = met[np.array([k for _, near in ways for k in near], np.int64) % BUCKETS].tolist()
+            asked = np.array([k for _, near in ways for k in near], np.int64)
+            prices = np.maximum(np.minimum(met[asked % BUCKETS], met[BUCKETS + _other(asked)]) - chance, 1).tolist()
             costs, at = [], 0
             for _, near in ways:
                 costs.append((prices[at], sum(prices[at : at + len(near)])))
@@ -195,8 +218,9 @@ def similar_sets(sets: DataFrame, t: Fraction = THRESHOLD, slack: float = SLACK)
     if not limits:
         return spark.createDataFrame([], "sid_a bigint, sid_b bigint")
     counted = sets.select("words").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    costs = np.zeros(BUCKETS, np.int64)
+    costs = np.zeros(2 * BUCKETS, np.int64)
     costs[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    chance = int(costs.sum()) // (2 * BUCKETS)
     table = spark.sparkContext.broadcast(np.minimum(costs, 2**31 - 1).astype(np.int32))
     chosen = sets.select("sid", "words").mapInArrow(probe, "key bigint, sid bigint, size int, bits bigint")
     entries = sets.select("sid", "words").mapInArrow(index, "key bigint, sid_b bigint, size_b int, bits_b bigint")

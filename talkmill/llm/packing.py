@@ -4,16 +4,21 @@ Texts are dealt into shards of at most about ``SHARD`` texts by a hash of their
 key, and each shard is packed on its own (a shard wastes less than a container
 more than the whole would). Within a shard, large texts are sorted and cut into
 groups of equal number; each group's sizes are rounded up to its largest. Over
-these few sizes the fullest configurations of one container are searched and
-used as often as the remaining texts allow; the actual texts take the places of
-their rounded sizes, and the small ones are best-fitted into the space left.
+these few sizes all configurations of one container are known, for at most three
+large texts fit, and a linear program finds how often to use each so that the
+containers are fewest. The actual texts take the places of their rounded sizes;
+what the program's fractions leave over, and the small texts, are best-fitted into
+the space left. A shard for which plain best-fit of the sorted texts needs fewer
+containers takes that, so none ever needs more.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import combinations_with_replacement
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,64 +26,59 @@ from pyspark.sql import functions as F
 from talkmill.plans.lineage import cut
 
 SHARD = 50_000
-GROUPS = 32
+GROUPS = 48
 #: A text larger than this share of the capacity is large.
 LARGE = 0.25
+#: Steps of the linear program; what it holds after them is valid, if not the best.
+STEPS = 2000
 MOST_SPECS = 1000
 RESULT = "spec_id int, shard int, bin bigint, pos bigint, doc_id bigint, piece bigint, tokens bigint"
 
 
-def fullest(sizes: list[int], counts: list[int], capacity: int) -> list[int]:
-    """How many of each size (descending) fill one container most, within ``counts``; fewest items among equals."""
-    top = min(capacity, sum(s * c for s, c in zip(sizes, counts)))
-    step: list[tuple[int, int, int] | None] = [None] * (top + 1)  # filled -> (size number, copies, filled before)
-    items = [0] + [-1] * top
-    for k, (size, count) in enumerate(zip(sizes, counts)):
-        reached = [x for x in range(top + 1) if items[x] >= 0]
-        for x in reached:
-            base = items[x]
-            for copies in range(1, min(count, (top - x) // size) + 1 if size else 1):
-                y = x + copies * size
-                if items[y] < 0:
-                    items[y], step[y] = base + copies, (k, copies, x)
-        if items[top] >= 0:
-            break
-    at = max(x for x in range(top + 1) if items[x] >= 0)
-    out = [0] * len(sizes)
-    while at:
-        k, copies, at = step[at]
-        out[k] += copies
+Item = tuple[int, object]
+
+
+def configurations(sizes: list[int], capacity: int) -> np.ndarray:
+    """All ways (size, configuration) to fill a container with one to three of the sizes."""
+    kinds = range(len(sizes))
+    fits = [c for n in (1, 2, 3) for c in combinations_with_replacement(kinds, n) if n == 1 or sum(sizes[k] for k in c) <= capacity]
+    out = np.zeros((len(sizes), len(fits)))
+    for i, c in enumerate(fits):
+        for k in c:
+            out[k, i] += 1
     return out
 
 
-def pack(items: list[tuple[int, object]], capacity: int) -> list[list[tuple[int, object]]]:
-    """Containers of (size, item) whose sizes sum to at most ``capacity``; every size must be at most that."""
-    items = sorted(items, key=lambda x: (-x[0], str(x[1])))
-    large = [x for x in items if x[0] > capacity * LARGE]
-    small = items[len(large) :]
-    bins: list[list[tuple[int, object]]] = []
-    if large:
-        per = -(-len(large) // GROUPS)
-        groups = [large[i : i + per] for i in range(0, len(large), per)]
-        sizes, left = [g[0][0] for g in groups], [len(g) for g in groups]
-        unit = max(1, capacity // 2048)  # rounds sizes up a little more, so the search stays small for any capacity
-        coarse = [-(-s // unit) for s in sizes]
-        room = capacity // unit
-        while any(left):
-            if all(c > room for c, n in zip(coarse, left) if n):
-                use = [int(i == next(j for j, n in enumerate(left) if n)) for i in range(len(left))]
-            else:
-                use = fullest([c if c <= room else room + 1 for c in coarse], [n if c <= room else 0 for c, n in zip(coarse, left)], room)
-            times = min(n // u for n, u in zip(left, use) if u)
-            for _ in range(times):
-                one = []
-                for k, u in enumerate(use):
-                    for _ in range(u):
-                        left[k] -= 1
-                        one.append(groups[k][left[k]])
-                bins.append(one)
+def fewest(ways: np.ndarray, counts: list[int]) -> list[tuple[int, float]]:
+    """(configuration, times) of the fractional use of configurations that holds ``counts`` with the fewest containers: the simplex method.
+
+    It starts from each size alone, which the first configurations are.
+    """
+    need = np.array(counts, float)
+    basis = list(range(len(counts)))
+    inverse, times = np.eye(len(counts)), need.copy()
+    for _ in range(STEPS):
+        worth = inverse.sum(0)  # of one more text of each size, in containers
+        gain = worth @ ways
+        enter = int(gain.argmax())
+        if gain[enter] <= 1 + 1e-9:
+            break
+        direction = inverse @ ways[:, enter]
+        held = np.full(len(times), np.inf)
+        np.divide(times, direction, out=held, where=direction > 1e-9)
+        leave = int(held.argmin())
+        basis[leave] = enter
+        pivot = inverse[leave] / direction[leave]
+        inverse -= np.outer(direction, pivot)
+        inverse[leave] = pivot
+        times = np.maximum(inverse @ need, 0)
+    return [(b, float(t)) for b, t in zip(basis, times) if t > 0]
+
+
+def best_fit(items: list[Item], capacity: int, bins: list[list[Item]]) -> list[list[Item]]:
+    """``bins`` with the items, in order, each in the container it fills most, in a new one where none has room."""
     space = sorted((capacity - sum(s for s, _ in b), i) for i, b in enumerate(bins))
-    for item in small:
+    for item in items:
         at = bisect_left(space, (item[0], -1))
         if at < len(space):
             free, i = space.pop(at)
@@ -90,6 +90,32 @@ def pack(items: list[tuple[int, object]], capacity: int) -> list[list[tuple[int,
     return bins
 
 
+def planned(large: list[Item], small: list[Item], capacity: int) -> list[list[Item]]:
+    """Containers by linear grouping; both lists come largest first."""
+    per = -(-len(large) // GROUPS)
+    groups = [large[i : i + per] for i in range(0, len(large), per)]
+    ways = configurations([g[0][0] for g in groups], capacity)
+    bins: list[list[Item]] = []
+    for configuration, times in fewest(ways, list(map(len, groups))):
+        for _ in range(int(times + 1e-6)):
+            kinds = [k for k in np.nonzero(ways[:, configuration])[0] for _ in range(int(ways[k, configuration]))]
+            if all(len(groups[k]) >= kinds.count(k) for k in kinds):
+                bins.append([groups[k].pop() for k in kinds])
+    left = sorted((x for g in groups for x in g), key=lambda x: (-x[0], str(x[1])))
+    return best_fit(left + small, capacity, bins)
+
+
+def pack(items: list[Item], capacity: int) -> list[list[Item]]:
+    """Containers of (size, item) whose sizes sum to at most ``capacity``; every size must be at most that."""
+    items = sorted(items, key=lambda x: (-x[0], str(x[1])))
+    large = [x for x in items if x[0] > capacity * LARGE]
+    plain = best_fit(items, capacity, [])
+    if not large:
+        return plain
+    by_groups = planned(large, items[len(large) :], capacity)
+    return by_groups if len(by_groups) <= len(plain) else plain
+
+
 def _pack_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packs rows (spec_id, shard, capacity, doc_id, tokens, piece) that come sorted by the first two."""
 

@@ -83,12 +83,13 @@ def packed_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packed(spark, folder), read(spark, folder, "pack_specs"))
 
 
-def mixed(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(_sized(spark, folder), read(spark, folder, "mix_targets"))
+def mixed(spark: SparkSession, folder: str, budget: int | None = None) -> DataFrame:
+    return mixing.mix(_sized(spark, folder), read(spark, folder, "mix_targets"), budget)
 
 
-def mixed_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.shares(cut(mixed(spark, folder)), read(spark, folder, "mix_targets"))
+def mixed_shares(spark: SparkSession, folder: str, budget: int | None = None) -> DataFrame:
+    documents, targets = cut(_sized(spark, folder)), read(spark, folder, "mix_targets")
+    return mixing.shares(cut(mixing.mix(documents, targets, budget)), targets, documents)
 
 
 def alike_documents(spark: SparkSession, folder: str) -> DataFrame:

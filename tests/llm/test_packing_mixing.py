@@ -33,10 +33,31 @@ def test_containers(spark, rows, shard):
     specs = {1: 512, 2: 2048}
     df = rows(list(docs.items()) + [(7, docs[7]), (None, 5), (2000, None)], DOCS).selectExpr("*", "1 AS shard", "2 AS capacity")
     held = check(packing.fill(df, rows([(1, 512), (2, 2048), (3, 0), (4, None)], SPECS), shard).collect(), docs, specs)
-    if shard > 1000:
-        for s, c in specs.items():
-            used = sum(1 for k in held if k[0] == s)
-            assert used <= sum(docs.values()) / c * 1.05 + 1
+    shards = -(-len(docs) // shard)
+    for s, c in specs.items():
+        used = sum(1 for k in held if k[0] == s)
+        pieces = sorted((min(c, n - p * c) for n in docs.values() for p in range(max(1, -(-n // c)))), reverse=True)
+        assert used <= len(packing.best_fit([(n, i) for i, n in enumerate(pieces)], c, [])) + shards - 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_never_more_than_best_fit(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([rng.randint(1, 100), rng.randint(26, 60), rng.choice([34, 33, 51, 49])]) for _ in range(rng.choice([5, 60, 900]))]
+    items = [(n, i) for i, n in enumerate(sizes)]
+    bins = packing.pack(items, 100)
+    assert sorted(x for b in bins for x in b) == sorted(items) and all(sum(n for n, _ in b) <= 100 for b in bins)
+    assert len(bins) <= len(packing.best_fit(sorted(items, reverse=True), 100, []))
+
+
+def test_the_program_finds_the_fewest():
+    """51 + 49, 34 + 33 + 33: a first choice by fullness would do; here only the mix of configurations is best."""
+    ways = packing.configurations([6, 5, 4, 3], 12)
+    for counts in ([3, 4, 6, 5], [7, 1, 2, 9], [1, 1, 1, 1], [10, 10, 10, 10]):
+        found = packing.fewest(ways, counts)
+        assert (sum(ways[:, i] * t for i, t in found) >= [n - 1e-6 for n in counts]).all()
+        bound = sum(n * s for n, s in zip(counts, [6, 5, 4, 3])) / 12
+        assert bound - 1e-6 <= sum(t for _, t in found) <= bound * 1.35 + 1
 
 
 def test_empty(spark, rows):
@@ -64,18 +85,29 @@ def test_shares(spark, rows):
     mixed = mixing.mix(df, targets)
     got = mixed.collect()
     assert all(r["repeats"] <= (1 if r["source"] == "a" else 4) for r in got) and {r["source"] for r in got} == {"a", "b"}
-    report = {r["source"]: r for r in mixing.shares(mixed, targets).collect()}
+    report = {r["source"]: r for r in mixing.shares(mixed, targets, df).collect()}
     assert abs(report["a"]["actual_share"] - 2 / 3) < 0.01 and abs(report["b"]["actual_share"] - 1 / 3) < 0.01 and report["empty"]["actual_share"] == 0
+    assert report["b"]["binds"] and report["b"]["allows"] == 120_000 and not report["a"]["binds"] and report["empty"]["allows"] is None
     assert report["b"]["uses"] <= 400 and sum(r["tokens"] * r["repeats"] for r in got) <= 40_000 * 3 + 1
     small = mixing.mix(df, targets, budget=3000).collect()
     assert 2700 <= sum(r["tokens"] * r["repeats"] for r in small) <= 3000
     assert sorted(map(tuple, small)) == sorted(map(tuple, mixing.mix(df, targets, budget=3000).collect()))
 
 
+def test_shares_to_within_a_percent(spark, rows):
+    """Sources of short texts fill what long documents of others leave."""
+    rng = random.Random(8)
+    data = [(s, 10_000 * i + j, int(rng.lognormvariate(5, 1)) + 1) for i, s in enumerate("abcd") for j in range(1500)]
+    targets = rows([("a", 0.4, 2), ("b", 0.3, 3), ("c", 0.25, 1), ("d", 0.05, 1)], TARGETS)
+    df = rows(data, MIX)
+    report = mixing.shares(mixing.mix(df, targets, 200_000), targets, df).collect()
+    assert all(abs(r["actual_share"] - r["target_share"]) < 0.01 for r in report) and sum(r["tokens"] for r in report) <= 200_000
+
+
 def test_mix_of_nothing(spark, rows):
     targets = rows([("a", 1.0, 1)], TARGETS)
     assert mixing.mix(rows([], MIX), targets).count() == 0
-    assert mixing.shares(mixing.mix(rows([], MIX), targets), targets).first()["actual_share"] == 0
+    assert mixing.shares(mixing.mix(rows([], MIX), targets), targets, rows([], MIX)).first()["actual_share"] == 0
     assert mixing.mix(rows([("a", 1, 5)], MIX), rows([], TARGETS)).count() == 0
 
 
