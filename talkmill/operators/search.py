@@ -15,11 +15,27 @@ RRF_K = 2.0
 PREFETCH_FACTOR, PREFETCH_LEAST = 3, 30
 
 
+def _words(archive: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, __row, word``: every word with the row it stands in."""
+    rows = archive.select(key, tokenize(F.col(text)).alias("__words"), F.monotonically_increasing_id().alias("__row"))
+    return rows.select(key, "__row", F.explode("__words").alias("word"))
+
+
+def counted(archive: DataFrame, key: str, text: str, token: Column) -> DataFrame:
+    """``key, token_id, n``: how often each token occurs in each row; rows delivered twice count once.
+
+    Occurrences are counted within their row before anything moves, and what
+    moves is (key, row, token, count): no text does.
+    """
+    words = _words(archive, key, text)
+    per_row = words.groupBy(key, "__row", "word").agg(F.count("*").alias("n"))
+    hashed = per_row.select(key, "__row", token.alias("token_id"), "n").groupBy(key, "__row", "token_id").agg(F.sum("n").alias("n"))
+    return hashed.groupBy(key, "token_id").agg(F.max("n").alias("n"))
+
+
 def postings(archive: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, token_id, n``: how often each hashed token occurs in each row. Counted map-side before the shuffle."""
-    words = archive.select(key, F.explode(tokenize(F.col(text))).alias("word"))
-    counted = words.groupBy(key, "word").agg(F.count("*").alias("n"))
-    return counted.select(key, fnv1a(F.col("word")).alias("token_id"), "n").groupBy(key, "token_id").agg(F.sum("n").alias("n"))
+    """``key, token_id, n`` of all hashed tokens. Stored, it is what :func:`search_postings` reads."""
+    return counted(archive, key, text, fnv1a(F.col("word")))
 
 
 def sparse_vectors(archive: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -39,20 +55,27 @@ def query_vector(spark: SparkSession, query: str) -> DataFrame:
     return sparse_vectors(one, "q_id").select("token_id", F.col("weight").alias("q"))
 
 
+def search_postings(postings: DataFrame, key: str, query: str, rows: int) -> DataFrame:
+    """``key, score`` of stored postings: q x idf x weight, summed over the tokens they share with the query; reads those tokens' postings only."""
+    wanted = {r["token_id"]: r["q"] for r in query_vector(postings.sparkSession, query).collect()}  # one row per word of the query
+    hits = postings.where(F.col("token_id").isin(*wanted))
+    df = hits.groupBy("token_id").agg(F.count("*").alias("df"))
+    q = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])[F.col("token_id")] if wanted else F.lit(0.0)
+    weight = F.log((F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return hits.join(df, "token_id").groupBy(key).agg(F.sum(q * weight * saturated(F.col("n"))).alias("score"))
+
+
 def sparse_scores(archive: DataFrame, key: str, query: str, text: str = "text") -> DataFrame:
-    """``key, score`` of the rows that share a token with the query: q x idf x weight, summed.
+    """``key, score`` of the rows that share a token with the query, from the texts themselves.
 
-    Only postings of the query's tokens are counted and joined; the query side has one row per distinct word of the query.
+    The texts are read once; of their words only those that hash to a token of
+    the query are counted, and only these counts move.
     """
-    rows = archive.count()
-    wanted = query_vector(archive.sparkSession, query)
-    words = archive.select(key, F.explode(tokenize(F.col(text))).alias("word"))
-    # Distinct words are hashed, not their occurrences; those that hash to a token of the query are few.
-    terms = words.select("word").distinct().select("word", fnv1a(F.col("word")).alias("token_id")).join(wanted, "token_id")
-    hits = words.join(terms, "word").groupBy(key, "token_id", "q").agg(F.count("*").alias("n"))
-    df = hits.groupBy("token_id").agg(F.count("*").alias("df"))
-    weight = F.log((F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    return hits.join(df, "token_id").groupBy(key).agg(F.sum(F.col("q") * weight * saturated(F.col("n"))).alias("score"))
+    wanted = [r["token_id"] for r in query_vector(archive.sparkSession, query).collect()]
+    words = _words(archive, key, text)
+    terms = words.select(key, "__row", fnv1a(F.col("word")).alias("token_id")).where(F.col("token_id").isin(*wanted))
+    found = terms.groupBy(key, "__row", "token_id").agg(F.count("*").alias("n")).groupBy(key, "token_id").agg(F.max("n").alias("n"))
+    return search_postings(found, key, query, archive.select(key).distinct().count())
 
 
 def dense_scores(archive: DataFrame, key: str, vector: list[float], column: str = "embedding") -> DataFrame:
@@ -86,8 +109,8 @@ def prefetch(limit: int) -> int:
 def hybrid(archive: DataFrame, key: str, query: str, vector: list[float], limit: int = 5, k: float = RRF_K) -> DataFrame:
     """``key, score`` of both legs fused; a filter belongs on ``archive``, before either leg is cut."""
     width = prefetch(limit)
-    legs = [ranked(dense_scores(archive, key, vector), key, width), ranked(sparse_scores(archive, key, query), key, width)]
-    return fuse(legs, key, limit, k)
+    dense = dense_scores(archive, key, vector).groupBy(key).agg(F.max("score").alias("score"))
+    return fuse([ranked(dense, key, width), ranked(sparse_scores(archive, key, query), key, width)], key, limit, k)
 
 
 def archive_filter(source_tool: str | None = None, project: str | None = None, session_id: str | None = None, after: int | None = None, before: int | None = None) -> Column:
@@ -136,7 +159,7 @@ def matches_websearch(words: Column, query: str) -> Column:
 
 
 def fulltext(facts: DataFrame, query: str, category: str | None = None, project: str | None = None, limit: int = 50) -> DataFrame:
-    """Active facts that match a query, by the number of query words they hold, at most ``limit``."""
+    """Active facts that match a query, by the number of query words they hold, at most ``limit``; blank filters don't count."""
     words = F.split(F.lower("statement"), r"[^\p{L}\p{N}_]+")
     terms = sorted({w for g in parse_websearch(query) for wanted, ws in g if wanted for w in ws})
     rank = F.size(F.filter(words, lambda w: w.isin(*terms))) if terms else F.lit(0)

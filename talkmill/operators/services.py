@@ -18,8 +18,11 @@ from talkmill.operators.chunking import batch_numbers
 TRANSCRIPT, HALVINGS, SHORTEST = 48_000, 2, 4
 
 
-def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list[list[float]]], dims: int) -> DataFrame:
-    """``key, dense``: a vector per text from an embedder of batches bounded in number and characters. A wrong number or length of vectors is an error."""
+def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list[list[float]]], dims: int, keep_errors: bool = False) -> DataFrame:
+    """``key, dense``: a vector per text from an embedder of batches bounded in number and characters. A wrong number or length of vectors is an error.
+
+    With ``keep_errors`` an error stays with the texts of its batch (``key, dense, error``) instead of failing the job.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,15 +31,23 @@ def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], li
             groups: dict[int, list[str]] = {}
             for text_, number in zip(texts, batch_numbers(map(len, texts))):
                 groups.setdefault(number, []).append(text_)
-            vectors = []
+            vectors, errors = [], []
             for group in groups.values():
-                found = embedder(group)
-                if len(found) != len(group) or any(len(v) != dims for v in found):
-                    raise ValueError(f"the embedder must give {len(group)} vectors of {dims}")
-                vectors.extend(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["k", "dense"])
-
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"k {kind}, dense array<float>").withColumnRenamed("k", key)
+                try:
+                    found = embedder(group)
+                    if len(found) != len(group) or any(len(v) != dims for v in found):
+                        raise ValueError(f"the embedder must give {len(group)} vectors of {dims}")
+                    vectors.extend(found)
+                    errors.extend([None] * len(group))
+                except Exception as e:
+                    if not keep_errors:
+                        raise
+                    vectors.extend([None] * len(group))
+                    errors.extend([str(e) or type(e).__name__] * len(group))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=["k", "dense", "error"])
+
+    done = df.select(F.col(key), F.col(text)).mapInArrow(run, f"k {kind}, dense array<float>, error string").withColumnRenamed("k", key)
+    return done if keep_errors else done.drop("error")
 
 
 def extract(df: DataFrame, key: str, text: str, extractor: Callable[[str], str]) -> DataFrame:

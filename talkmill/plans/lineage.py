@@ -28,11 +28,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored in the shared checkpoint folder."""
+    """``df`` computed once and stored in the shared checkpoint folder.
+
+    Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` on the cluster, as
+    the sessions made here do, so that a copy goes when nothing refers to it any
+    more; :func:`drop_checkpoints` removes what a finished application left.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def drop_checkpoints(spark: SparkSession) -> None:
+    """Remove this application's checkpoints, when its results are written."""
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions a wide stage should use in this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -284,6 +284,8 @@ _PAIRS = f"""{_NAMES}, z AS (SELECT entity, regexp_replace(lower(entity), '[^a-z
     pr AS (SELECT DISTINCT least(a.entity, b.entity) AS a, greatest(a.entity, b.entity) AS b FROM z a JOIN z b ON a.entity <> b.entity AND starts_with(b.form, a.form) AND length(a.form) >= 3 AND length(a.form) >= length(b.form) * 0.3)"""
 _ALIAS = f"{M_}, al AS (SELECT x.n AS name, arg_min(canonical, proposal_id) AS t FROM m, unnest(members) AS x(n) WHERE x.n IS NOT NULL AND x.n <> canonical GROUP BY x.n)"
 
+_OBJECTIONS = "'(?i)" + "|".join(en.CONTRADICTIONS).replace("'", "''") + "'"
+
 SQL = {
     "normalize_statement": f"WITH {F_} SELECT id, {NORM.format('statement')} AS norm FROM f",
     "filename_entities": f"WITH {_NAMES} SELECT entity, {FILE.format('entity')} AS file FROM (SELECT entity FROM e UNION ALL SELECT unnest(['src/a.ts', 'Next.js', 'notes.md', 'v1.2', 'a/b']))",
@@ -335,6 +337,11 @@ SQL = {
         SELECT n AS entity, min(m) AS group_key FROM r GROUP BY n""",
     "entity_samples": f"""WITH {F_}, x AS (SELECT DISTINCT f.id, created_at, statement, x.e AS entity FROM f, unnest(entities) AS x(e) WHERE status = 'active'), n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY created_at DESC, id) AS n FROM x)
         SELECT entity, count(*) AS facts, string_agg(statement, ' | ' ORDER BY n) FILTER (WHERE n <= 3) AS samples FROM n GROUP BY entity""",
+    "validate_merges": f"""WITH RECURSIVE {_NAMES}, {M_}, v AS (SELECT proposal_id, canonical, x.n AS member FROM m, unnest(list_distinct(members)) AS x(n) WHERE canonical IS NOT NULL AND NOT regexp_matches(coalesce(reason, ''), {_OBJECTIONS}) AND x.n IN (SELECT entity FROM e)),
+        g AS (SELECT proposal_id, canonical, list_sort(list(member)) AS members FROM v GROUP BY ALL HAVING count(*) >= 2 AND bool_or(member = canonical)),
+        o AS (SELECT *, row_number() OVER (ORDER BY proposal_id) AS i FROM g),
+        w(i, taken, claimed) AS (SELECT 0::BIGINT, false, []::VARCHAR[] UNION ALL SELECT o.i, NOT list_has_any(o.members, claimed), CASE WHEN list_has_any(o.members, claimed) THEN claimed ELSE list_concat(claimed, o.members) END FROM w JOIN o ON o.i = w.i + 1)
+        SELECT proposal_id, canonical, array_to_string(members, '|') AS members FROM o JOIN w USING (i) WHERE taken""",
     "apply_entity_merges": f"""WITH {F_}, {_ALIAS}, x AS (SELECT f.id, list_sort(list(DISTINCT coalesce(t, x.e))) AS n, bool_or(t IS NOT NULL) AS hit FROM f, unnest(entities) AS x(e) LEFT JOIN al ON al.name = x.e GROUP BY f.id)
         SELECT f.id, array_to_string(CASE WHEN hit THEN n ELSE entities END, '|') AS entities, CASE WHEN hit THEN epoch_ms(TIMESTAMP '{NOW}') ELSE epoch_ms(updated_at) END AS updated_ms FROM f LEFT JOIN x USING (id)""",
     "entity_cooccurrence": f"""WITH {F_}, x AS (SELECT DISTINCT f.id, x.e FROM f, unnest(entities) AS x(e) WHERE status = 'active') SELECT a.e AS a, b.e AS b, count(*) AS facts FROM x a JOIN x b ON a.id = b.id AND a.e < b.e GROUP BY ALL HAVING count(*) >= 2""",
