@@ -12,6 +12,7 @@ CATEGORIES = ("decision", "preference", "project", "person", "fact")
 STATUSES = ("active", "superseded", "deleted")
 TRIAGE_BATCH = 25
 CANDIDATES = 20
+LISTED = 10_000
 PROPOSAL = "statement string, category string, entities array<variant>, confidence variant, project string"
 
 
@@ -31,6 +32,11 @@ def recent(facts: DataFrame, limit: int = 50) -> DataFrame:
     return facts.orderBy(F.desc("updated_at"), "id").limit(limit)
 
 
+def listing(facts: DataFrame, limit: int = LISTED) -> DataFrame:
+    """All facts of any status in order of creation, at most ``limit``: a listing for people, not a way to read the table."""
+    return facts.orderBy("created_at", "id").limit(limit)
+
+
 def superseded_recent(facts: DataFrame, limit: int = 20) -> DataFrame:
     """Superseded facts, newest first, with the statement that replaced each."""
     gone = facts.where(F.col("status") == "superseded").orderBy(F.desc("updated_at"), "id").limit(limit)

@@ -192,12 +192,24 @@ def archive_shape(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("chunk_id", F.md5(ar.archive_block(header, F.col("text"))).alias("digest"), header.alias("header"))
 
 
-def eval_recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
+def _evaluated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Results and golden queries: every hundredth vector asks for those of its label."""
     vectors = read(spark, folder, "embeddings")
     golden = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.array(F.col("label").cast("string")).alias("expected"), "embedding")
     found = knn(vectors, golden.select("qid", "embedding"), "vec_id", "embedding", 5)
-    results = found.join(vectors.select("vec_id", F.col("label").cast("string").alias("session_id")), "vec_id").select("qid", "session_id", "rank0")
-    return evaluation.recall_mrr(results, golden).select("queries", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+    return found.join(vectors.select("vec_id", F.col("label").cast("string").alias("session_id")), "vec_id").select("qid", "session_id", "rank0"), golden
+
+
+def eval_recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.recall_mrr(*_evaluated(spark, folder)).select("queries", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+
+
+def eval_gate(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.gate(*_evaluated(spark, folder)).select("queries", F.round("recall", 6).alias("recall"), "passed")
+
+
+def eval_misses(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.misses(*_evaluated(spark, folder)).select("qid", F.array_join("expected", "|").alias("expected"))
 
 
 def p95_nearest_rank(spark: SparkSession, folder: str) -> DataFrame:
@@ -291,7 +303,7 @@ _PLAIN = {
     f.__name__: f
     for f in (
         token_estimate, tokenize, fnv1a, content_hash, chunk_point_id, slugify, path_project, redact_rules, detect_source, tidy_turns, markdown_sessions, extract_json,
-        sparse_vectors, idf, sparse_search, cosine_pairs, dense_knn, knn_queries, hybrid_rrf, archive_filter, archive_shape, eval_recall_mrr, p95_nearest_rank,
+        sparse_vectors, idf, sparse_search, cosine_pairs, dense_knn, knn_queries, hybrid_rrf, archive_filter, archive_shape, eval_recall_mrr, eval_gate, eval_misses, p95_nearest_rank,
         session_scroll, timeline, recent_sessions, budget_truncate, ingest_replaced, delete_by_session, archive_upsert, merge_same_role, min_chars_filter,
         chunk_sessions, split_oversized, embed_batches, branch_walk, parse_sessions,
     )
@@ -374,6 +386,18 @@ SQL = {
         g AS (SELECT qid, min(r) FILTER (WHERE hit AND r <= 5) AS r FROM x GROUP BY qid)
         SELECT count(*) AS queries, round(avg((r IS NOT NULL)::INT), 6) AS recall, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM g
     """,
+    "eval_gate": """
+        WITH x AS (SELECT q.vec_id AS qid, q.label = e.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS r
+            FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+        g AS (SELECT qid, min(r) FILTER (WHERE hit AND r <= 5) AS r FROM x GROUP BY qid)
+        SELECT count(*) AS queries, round(avg((r IS NOT NULL)::INT), 6) AS recall, avg((r IS NOT NULL)::INT) >= 0.8 AS passed FROM g
+    """,
+    "eval_misses": """
+        WITH x AS (SELECT q.vec_id AS qid, q.label = e.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS r
+            FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+        g AS (SELECT qid, min(r) FILTER (WHERE hit AND r <= 5) AS r FROM x GROUP BY qid)
+        SELECT qid, label::VARCHAR AS expected FROM g JOIN embeddings ON vec_id = qid WHERE r IS NULL
+    """,
     "p95_nearest_rank": "SELECT count(*) AS n, list_sort(list(value))[CAST(least(count(*) - 1, floor(count(*) * 0.95)) AS BIGINT) + 1] AS value FROM events WHERE value IS NOT NULL",
     "session_scroll": f"WITH {C} SELECT chunk_id, turn_first, turn_last FROM c WHERE session_id = '{HOT}'",
     "timeline": f"""WITH {C}, n AS (SELECT *, row_number() OVER (ORDER BY turn_first, chunk_id) AS r FROM c WHERE session_id = '{HOT}'), a AS (SELECT r FROM n ORDER BY chunk_id DESC LIMIT 1)

@@ -88,6 +88,10 @@ def recent_facts(spark: SparkSession, folder: str) -> DataFrame:
     return fa.recent(facts(spark, folder)).select("id", "statement", F.unix_millis("updated_at").alias("updated_ms"))
 
 
+def fact_listing(spark: SparkSession, folder: str) -> DataFrame:
+    return fa.listing(facts(spark, folder)).select("id", "status", F.unix_millis("created_at").alias("created_ms"))
+
+
 def superseded_recent(spark: SparkSession, folder: str) -> DataFrame:
     return fa.superseded_recent(facts(spark, folder)).select("id", "statement", "replacement")
 
@@ -261,7 +265,7 @@ def daily_log(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_statement, filename_entities, validate_proposals, vault_slug, fact_by_id, fact_counts, recent_facts, superseded_recent, stale_facts, facts_project_scope,
+        normalize_statement, filename_entities, validate_proposals, vault_slug, fact_by_id, fact_counts, recent_facts, fact_listing, superseded_recent, stale_facts, facts_project_scope,
         supersede_candidates, mark_superseded, hard_delete, backfill_projects, fulltext_facts, memory_search, forget_preview, ledger_stats, ledger_skip, undistilled, distill_transcripts,
         review_pending, review_resolve, triage_duplicates, triage_batches, triage_report, approve_proposals, memory_stats, entity_pairs, entity_groups, entity_samples,
         validate_merges, apply_entity_merges, entity_cooccurrence, top_entities, vault_category, vault_lines, vault_entity, daily_log,
@@ -295,6 +299,7 @@ SQL = {
     "fact_by_id": f"WITH {F_} SELECT id, statement, category FROM f WHERE id = (SELECT min(id) FROM f)",
     "fact_counts": f"WITH {F_} SELECT s AS status, count(id) AS n FROM (SELECT unnest(['active', 'superseded', 'deleted']) AS s) LEFT JOIN f ON status = s GROUP BY s",
     "recent_facts": f"WITH {F_} SELECT id, statement, epoch_ms(updated_at) AS updated_ms FROM f ORDER BY updated_at DESC, id LIMIT 50",
+    "fact_listing": f"WITH {F_} SELECT id, status, epoch_ms(created_at) AS created_ms FROM f ORDER BY created_at, id LIMIT 10000",
     "superseded_recent": f"WITH {F_}, g AS (SELECT * FROM f WHERE status = 'superseded' ORDER BY updated_at DESC, id LIMIT 20) SELECT g.id, g.statement, f.statement AS replacement FROM g LEFT JOIN f ON f.id = g.superseded_by",
     "stale_facts": f"WITH {F_} SELECT id, floor((epoch_ms(TIMESTAMP '{NOW}') - epoch_ms(updated_at)) / 86400000)::BIGINT AS age_days FROM f WHERE status = 'active' AND updated_at < TIMESTAMP '{NOW}' - INTERVAL 3 MONTH",
     "facts_project_scope": f"WITH {F_} SELECT id, project FROM f WHERE project = 'harrow' AND category = 'fact'",
