@@ -55,27 +55,34 @@ def query_vector(spark: SparkSession, query: str) -> DataFrame:
     return sparse_vectors(one, "q_id").select("token_id", F.col("weight").alias("q"))
 
 
-def search_postings(postings: DataFrame, key: str, query: str, rows: int) -> DataFrame:
-    """``key, score`` of stored postings: q x idf x weight, summed over the tokens they share with the query; reads those tokens' postings only."""
-    wanted = {r["token_id"]: r["q"] for r in query_vector(postings.sparkSession, query).collect()}  # one row per word of the query
-    hits = postings.where(F.col("token_id").isin(*wanted))
+def _wanted(spark: SparkSession, query: str) -> dict[int, float]:
+    """Tokens of a query with their weights: one per word."""
+    return {r["token_id"]: r["q"] for r in query_vector(spark, query).collect()}
+
+
+def _scores(hits: DataFrame, key: str, wanted: dict[int, float], rows: int) -> DataFrame:
     df = hits.groupBy("token_id").agg(F.count("*").alias("df"))
     q = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])[F.col("token_id")] if wanted else F.lit(0.0)
     weight = F.log((F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     return hits.join(df, "token_id").groupBy(key).agg(F.sum(q * weight * saturated(F.col("n"))).alias("score"))
 
 
+def search_postings(postings: DataFrame, key: str, query: str, rows: int) -> DataFrame:
+    """``key, score`` of stored postings: q x idf x weight, summed over the tokens they share with the query; reads those tokens' postings only."""
+    wanted = _wanted(postings.sparkSession, query)
+    return _scores(postings.where(F.col("token_id").isin(*wanted)), key, wanted, rows)
+
+
 def sparse_scores(archive: DataFrame, key: str, query: str, text: str = "text") -> DataFrame:
     """``key, score`` of the rows that share a token with the query, from the texts themselves.
 
     The texts are read once; of their words only those that hash to a token of
     the query are counted, and only these counts move.
     """
-    wanted = [r["token_id"] for r in query_vector(archive.sparkSession, query).collect()]
-    words = _words(archive, key, text)
-    terms = words.select(key, "__row", fnv1a(F.col("word")).alias("token_id")).where(F.col("token_id").isin(*wanted))
+    wanted = _wanted(archive.sparkSession, query)
+    terms = _words(archive, key, text).select(key, "__row", fnv1a(F.col("word")).alias("token_id")).where(F.col("token_id").isin(*wanted))
     found = terms.groupBy(key, "__row", "token_id").agg(F.count("*").alias("n")).groupBy(key, "token_id").agg(F.max("n").alias("n"))
-    return search_postings(found, key, query, archive.select(key).distinct().count())
+    return _scores(found, key, wanted, archive.select(key).distinct().count())
 
 
 def dense_scores(archive: DataFrame, key: str, vector: list[float], column: str = "embedding") -> DataFrame:
